@@ -68,13 +68,13 @@ def pieces(column: pa.Array, limit: int = 8 * CHUNK) -> Iterator[tuple[int, int]
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word in order, its first byte, words of each text).
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word in order, its first byte, its length, words of each text).
 
     A-Z count as a-z. Texts border words. The buffer is cut at blanks, so a long
     text takes no more memory than a short one.
     """
-    n, hashes, firsts, lo = len(data), [], [], 0
+    n, hashes, firsts, lengths, lo = len(data), [], [], [], 0
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     while lo < n:
@@ -98,10 +98,12 @@ def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> t
         np.cumsum((LOWER[part].astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
         firsts.append(s + lo)
+        lengths.append(e - s)
         lo = hi
     first = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
     counts = np.diff(np.searchsorted(first, offsets))
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), first, counts
+    length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), first, length, counts
 
 
 def segment_sum(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
