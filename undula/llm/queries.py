@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from undula.llm import bpe, exact_dedup, lm, sharding, toxicity
+from undula.llm import bpe, chat, exact_dedup, licenses, lm, mixing, sharding, topk, toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,6 +30,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir), tokenizer_path(), digests_only=True)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_documents(spark, sf_dir), max_passes=2.0)
+    return mixed.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_pass").alias("pass"), F.col("_position").alias("position"))
+
+
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_held_out(_documents(spark, sf_dir), parts=7, held=2)
 
@@ -41,18 +47,64 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), n_shards=24)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir), least=0.8)
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", topk.quantised(F.col("embedding"), 256).alias("v"))
+    return topk.top_k(rows.where("vec_id % 50 = 0"), rows, k=5)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.select("conv_id", "turn", "place", "message", "valid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
+    "op3_mixing": op3_mixing,
     "op4_lm": op4_lm,
     "op7_toxicity": op7_toxicity,
     "op6_sharding": op6_sharding,
+    "op8_licenses": op8_licenses,
+    "op9_topk": op9_topk,
+    "op10_chat": op10_chat,
 }
 
+
+def _license_sql(least: float = 0.8) -> str:
+    """Every unit of every text against every template; no pruning."""
+    rows = [(name, licenses.bigrams_of(t)) for name, ts in sorted(licenses.TEMPLATES.items()) for t in ts]
+    values = ", ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams)}])" for name, bigrams in rows)
+    return f"""
+        WITH t(id, tb) AS (VALUES {values}),
+        n AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS norm FROM documents),
+        u AS (SELECT doc_id, unnest(list_concat(list_concat(string_split(norm, chr(10)), string_split_regex(norm, '\\n\\s*\\n')), [norm])) AS raw FROM n),
+        v AS (SELECT doc_id, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS unit FROM u),
+        w AS (SELECT DISTINCT doc_id, unit, string_split(unit, ' ') AS ws FROM v WHERE contains(unit, ' ')),
+        b AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS ub FROM w WHERE len(ws) <= 200),
+        m AS (SELECT doc_id, unit, id, 2.0 * len(list_intersect(ub, tb)) / (len(ub) + len(tb)) AS dice FROM b, t),
+        g AS (SELECT * FROM m WHERE dice >= {least} - 1e-9),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, id, unit) AS k FROM g)
+        SELECT d.doc_id, r.id AS license_id, r.dice::DOUBLE AS dice, r.unit,
+               coalesce((SELECT count(DISTINCT g.id) FROM g WHERE g.doc_id = d.doc_id), 0) AS n_licenses
+        FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.k = 1"""
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op8_licenses": _license_sql(),
+    "op9_topk": """
+        WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+              FROM x q JOIN x c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
