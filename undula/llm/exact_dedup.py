@@ -153,7 +153,7 @@ def drop_copies(docs: DataFrame, keep: str = "largest", key: str = "doc_id", tex
     unclear = found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
     dropped = found.where("not kept").select(F.col("doc_id").alias("__id"))
     if unclear.isEmpty():
-        return docs.join(dropped, F.col(key) == F.col("__id"), "left_anti")
+        return docs.join(scratch.small(dropped), F.col(key) == F.col("__id"), "left_anti")
     unclear = scratch.table(unclear, "unclear").select(F.col("doc_id").alias("__id"))
     same = F.col(key).eqNullSafe(F.col("__id"))
     clear = docs.join(unclear, same, "left_anti").join(dropped.join(unclear, "__id", "left_anti"), F.col(key) == F.col("__id"), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.llm import bpe, chat, exact_dedup, licenses, lm, mixing, sharding, topk, toxicity
+from undula.llm import bpe, chat, exact_dedup, jaccard, licenses, lm, mixing, sharding, topk, toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,6 +43,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), parts=5, held=0)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(_documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_documents(spark, sf_dir), n_shards=24)
 
@@ -66,8 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_mixing": op3_mixing,
     "op4_lm": op4_lm,
-    "op7_toxicity": op7_toxicity,
+    "op5_jaccard": op5_jaccard,
     "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,
     "op9_topk": op9_topk,
     "op10_chat": op10_chat,

@@ -14,6 +14,7 @@ import uuid
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -58,6 +59,15 @@ def scan_tasks(df: DataFrame) -> int:
     return max(1, df._jdf.toJavaRDD().getNumPartitions())
 
 
+#: Rows of a table of ids up to which it is broadcast: a few MB.
+BROADCAST_IDS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """Broadcast a written table of ids if it has few rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def clear(spark: SparkSession) -> None:
     """Delete everything this application has written to the shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root(spark))

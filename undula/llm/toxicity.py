@@ -265,6 +265,20 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def reject(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose score is ``least`` or more; rows pass whole, nothing is joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in pieces(batch.column(place)):
+                part = batch.slice(lo, hi - lo)
+                yield part.filter(pa.array(shared.value.score(part.column(place)) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels of fold ``held`` are never read.
 
