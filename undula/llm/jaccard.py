@@ -26,6 +26,7 @@ no link is lost. Verification compares the whole sets.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -46,7 +47,7 @@ HELD = 4_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = np.uint64(0xFFFFFFFFFFFFFF00)  # 56 bits of a signature: chance agreements only cost a verification
-_BLOCKS = "bucket int, n long, sigs binary, owners binary, sets long, classes binary, sizes binary, slacks binary"
+_BLOCKS = "bucket int, n long, sigs binary, owners binary, sets long, classes binary, sizes binary, roles binary"
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -107,10 +108,7 @@ def allocation(band: int) -> tuple[bool, int, int]:
 
 
 def band_of(size: int) -> int:
-    band = max(0, int(math.log(size, 1.25)) - 3) if size > 4 else 0
-    while bands()[band][1] < size:
-        band += 1
-    return band
+    return bisect_right(bands(), (size, 1 << 62)) - 1
 
 
 def _name(sums: np.ndarray, segment: np.ndarray, band: int, kind: int) -> np.ndarray:
@@ -129,25 +127,26 @@ def _deletions(s: np.ndarray, h: np.ndarray, band: int, most: int) -> np.ndarray
 
 
 def signatures(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """(signatures, slack) of a set in its own band and, as a larger partner, the one below.
+    """(signatures, role) of a set in its own band and, as a larger partner, the one below.
 
-    ``slack``: agreements of partners less its empty segments, at least; 0: no such bound.
+    ``role``: twice the slack, plus 1 in the band below. The slack is how many non-empty
+    segments a partner shares at least (0: no such bound).
     """
     out, own = [], band_of(len(s))
     h = mix(s + _ODD)
-    for band in (own, own - 1):
+    for lower, band in enumerate((own, own - 1)):
         if band < 0 or len(s) > bands()[band][1] * 5 // 4:
             continue
         exact, m, most = allocation(band)
         if not exact:
-            out.append((np.unique(_deletions(s, h, band, most)), 0))
+            out.append((np.unique(_deletions(s, h, band, most)), lower))
             continue
         segment = bucket_of(s, m)  # the set is sorted: a segment is a run of it
         at = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         slack = m - most - (m - len(at))
-        out.append((_name(np.add.reduceat(h, at), segment[at], band, 0), max(0, slack)))
+        out.append((_name(np.add.reduceat(h, at), segment[at], band, 0), 2 * max(0, slack) + lower))
         if slack <= 0:
-            out.append((np.unique(_deletions(s, h, band, most)), 0))
+            out.append((np.unique(_deletions(s, h, band, most)), lower))
     return out
 
 
@@ -168,7 +167,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _deal(buckets: int):
     """Signatures of the distinct sets a task reads, as sorted arrays for each bucket."""
 
-    def flush(held: list, classes: list[int], sizes: list[int], slacks: list[int]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list, classes: list[int], sizes: list[int], roles: list[int]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         sigs = np.concatenate([x for x, _ in held])
@@ -176,17 +175,17 @@ def _deal(buckets: int):
         order = np.argsort(sigs, kind="stable")
         sigs, owners = sigs[order], owners[order]
         edges = np.searchsorted(bucket_of(sigs, buckets), np.arange(buckets + 1))
-        ids, size, slack = np.array(classes, np.int64), np.array(sizes, np.uint32), np.array(slacks, np.uint32)
+        ids, size, role = np.array(classes, np.int64), np.array(sizes, np.uint32), np.array(roles, np.uint32)
         for b in np.flatnonzero(np.diff(edges)):
             lo, hi = edges[b], edges[b + 1]
             used, own = np.unique(owners[lo:hi], return_inverse=True)
-            values = [int(b), int(hi - lo), pack(sigs[lo:hi]), pack_small(own), len(used), ids[used].tobytes(), pack_small(size[used]), pack_small(slack[used])]
+            values = [int(b), int(hi - lo), pack(sigs[lo:hi]), pack_small(own), len(used), ids[used].tobytes(), pack_small(size[used]), pack_small(role[used])]
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["bucket", "n", "sigs", "owners", "sets", "classes", "sizes", "slacks"])
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["bucket", "n", "sigs", "owners", "sets", "classes", "sizes", "roles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held, classes, sizes, slacks, size = [], [], [], [], 0
+        held, classes, sizes, roles, size = [], [], [], [], 0
         for batch in batches:
             column = batch.column(0)
             for lo, hi in pieces(column):
@@ -194,21 +193,21 @@ def _deal(buckets: int):
                     if not len(s) or (name := _class(s)) in seen:
                         continue
                     seen.add(name)
-                    for sigs, slack in signatures(s):
+                    for sigs, role in signatures(s):
                         held.append((sigs, len(classes)))
                         classes.append(name)
                         sizes.append(len(s))
-                        slacks.append(slack)
+                        roles.append(role)
                         size += len(sigs)
                     if size > HELD:
-                        yield from flush(held, classes, sizes, slacks)
-                        held, classes, sizes, slacks, size = [], [], [], [], 0
-        yield from flush(held, classes, sizes, slacks)
+                        yield from flush(held, classes, sizes, roles)
+                        held, classes, sizes, roles, size = [], [], [], [], 0
+        yield from flush(held, classes, sizes, roles)
 
     return run
 
 
-_CANDIDATES = "a long, b long, weight long, sig long, slack long"
+_CANDIDATES = "a long, b long, weight long, sig long, role_a long, role_b long"
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -216,15 +215,18 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b, weight) of sets that share signatures, and members (a = set, sig, slack) of large groups."""
-    sigs, classes, sizes, slacks = [], [], [], []
+    """Pairs (a < b, weight, roles) of sets that share signatures, and members (a = set, sig, role_a) of large groups.
+
+    Two sets that are both in a band as larger partners meet in the band above.
+    """
+    sigs, classes, sizes, roles = [], [], [], []
     for batch in batches:
-        for _, n, packed, owners, sets, ids, size, slack in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+        for _, n, packed, owners, sets, ids, size, role in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
             own = unpack_small(owners, n)
             sigs.append(unpack(packed, n))
             classes.append(np.frombuffer(ids, np.int64)[own])
             sizes.append(unpack_small(size, sets)[own])
-            slacks.append(unpack_small(slack, sets)[own].astype(np.int32))
+            roles.append(unpack_small(role, sets)[own].astype(np.int32))
     if not sigs:
         return
     sigs = np.concatenate(sigs)
@@ -234,17 +236,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared = again.copy()
     shared[:-1] |= again[1:]
     sigs, order = sigs[shared], order[shared]  # most signatures belong to one set
-    classes, sizes, slacks = (np.concatenate(x)[order] for x in (classes, sizes, slacks))
-    order = np.lexsort((classes, sigs))
-    sigs, classes, sizes, slacks = sigs[order], classes[order], sizes[order].astype(np.int64), slacks[order]
+    classes, sizes, roles = (np.concatenate(x)[order] for x in (classes, sizes, roles))
+    order = np.lexsort((classes, roles & 1, sigs))
+    sigs, classes, sizes, roles = sigs[order], classes[order], sizes[order].astype(np.int64), roles[order].astype(np.int64)
     fresh = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (classes[1:] != classes[:-1])))[: len(sigs)]
-    sigs, classes, sizes, slacks = sigs[fresh], classes[fresh], sizes[fresh], slacks[fresh]
+    sigs, classes, sizes, roles = sigs[fresh], classes[fresh], sizes[fresh], roles[fresh]
     if not len(sigs):
         return
     at = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
     count = np.diff(at, append=len(sigs))
     place = np.arange(len(sigs)) - np.repeat(at, count)
-    group = np.repeat(count, count)
+    group = np.where(np.repeat(roles[at] & 1, count) == 1, 0, np.repeat(count, count))  # the first is a smaller partner, if any is
     firsts, seconds = [], []
     for gap in range(1, SMALL):  # pairs of small groups, by their distance in the group
         lo = np.flatnonzero((group <= SMALL) & (place + gap < group))
@@ -254,16 +256,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     firsts.append(hub - place[hub])
     seconds.append(hub)
     lo, hi = np.concatenate(firsts), np.concatenate(seconds)
-    fit = _close(sizes[lo], sizes[hi])
-    pairs = np.stack([classes[lo[fit]], classes[hi[fit]]], 1)
-    if len(pairs):
-        pairs, weight = np.unique(pairs, axis=0, return_counts=True)
-        none = pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(weight), none, none], names=["a", "b", "weight", "sig", "slack"])
+    fit = _close(sizes[lo], sizes[hi]) & ((roles[lo] & roles[hi] & 1) == 0)
+    lo, hi = lo[fit], hi[fit]
+    turn = classes[lo] > classes[hi]
+    lo, hi = np.where(turn, hi, lo), np.where(turn, lo, hi)
+    rows = np.stack([classes[lo], classes[hi], roles[lo], roles[hi]], 1)
+    if len(rows):
+        rows, weight = np.unique(rows, axis=0, return_counts=True)
+        a, b, role_a, role_b = (pa.array(rows[:, j].copy()) for j in range(4))
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(weight), pa.nulls(len(rows), pa.int64()), role_a, role_b], names=["a", "b", "weight", "sig", "role_a", "role_b"])
     large = np.flatnonzero(group > SMALL)
     if len(large):
         none = pa.nulls(len(large), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(classes[large]), none, none, pa.array(sigs[large].view(np.int64)), pa.array(slacks[large].astype(np.int64))], names=["a", "b", "weight", "sig", "slack"])
+        yield pa.RecordBatch.from_arrays([pa.array(classes[large]), none, none, pa.array(sigs[large].view(np.int64)), pa.array(roles[large]), none], names=["a", "b", "weight", "sig", "role_a", "role_b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,20 +300,28 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each group; a task holds whole groups, pairs leave it in blocks."""
+    """Pairs of different components in each group, and the agreements they need; pairs leave a task in blocks."""
     table = pa.Table.from_batches(list(batches))
     if not table.num_rows:
         return
-    sig, node, label = (table[x].to_numpy() for x in ("sig", "class", "label"))
+    sig, node, label, role = (table[x].to_numpy() for x in ("sig", "class", "label", "role"))
     order = np.lexsort((node, label, sig))
-    sig, node, label = sig[order], node[order], label[order]
+    sig, node, label, role = sig[order], node[order], label[order], role[order]
     ends = np.searchsorted(sig, sig, "right")
     starts = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (label[1:] != label[:-1]))))
     other = np.append(starts, len(sig))[np.searchsorted(starts, np.arange(len(sig)), "right")]  # first row of the next component
+    held: list[np.ndarray] = []
     for i in range(len(sig)):
         for lo in range(int(other[i]), int(ends[i]), 1 << 16):
-            rest = node[lo : min(int(ends[i]), lo + (1 << 16))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rest, node[i])), pa.array(np.maximum(rest, node[i]))], names=["a", "b"])
+            part = slice(lo, min(int(ends[i]), lo + (1 << 16)))
+            fit = (role[part] & role[i] & 1) == 0
+            rest, need = node[part][fit], np.maximum(role[part][fit], role[i]) >> 1
+            held.append(np.stack([np.minimum(rest, node[i]), np.maximum(rest, node[i]), need], 1))
+        if sum(map(len, held[-64:])) > 1 << 16 or len(held) > 1 << 12 or i == len(sig) - 1:
+            if held:
+                rows, n = np.unique(np.concatenate(held), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, j].copy()) for j in range(3)), pa.array(n)], names=["a", "b", "need", "weight"])
+            held = []
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -321,8 +334,14 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     found = scratch.table(dealt.mapInArrow(_meet, _CANDIDATES), "candidates")
     del dealt
     scratch.free_shuffles(docs.sparkSession)
-    pairs = scratch.table(found.where("b is not null").groupBy("a", "b").agg(F.sum("weight").alias("weight")), "pairs")
-    large = found.where("b is null").select(F.col("a").alias("class"), "sig", "slack")
+    large = found.where("b is null").select(F.col("a").alias("class"), "sig", F.col("role_a").alias("role"))
+    # partners share as many segments as either's slack says: in small groups (weight) or in its large ones
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("role_a").alias("role_a"), F.max("role_b").alias("role_b"))
+    heavy = large.groupBy("class", "role").agg(F.count(F.lit(1)).alias("n"))
+    for side in "ab":
+        own = heavy.select(F.col("class").alias(side), F.col("role").alias(f"role_{side}"), F.col("n").alias(f"n_{side}"))
+        pairs = pairs.join(own, [side, f"role_{side}"], "left").where(F.col("weight") + F.coalesce(f"n_{side}", F.lit(0)) >= F.shiftright(f"role_{side}", 1))
+    pairs = scratch.table(pairs.select("a", "b", "weight"), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(large.select("class")).distinct()
     first = members.groupBy("class").agg(F.min("doc_id").alias("first"))
     wanted = scratch.table(nodes.join(first, "class"), "wanted")
@@ -343,9 +362,11 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     mixed = held.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
     held = scratch.table(held.join(mixed, "sig"), "mixed")
     # sets whose agreements may all lie in such groups; slack 0 has no other way
-    bound = held.groupBy("class", "slack").agg(F.count(F.lit(1)).alias("n")).where("n >= slack").select("class", "slack")
-    held = held.join(bound, ["class", "slack"]).select("sig", "class", "label")
-    across = held.repartition("sig").mapInArrow(_across, "a long, b long")
+    bound = held.groupBy("class", "role").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.shiftright("role", 1)).select("class", "role")
+    held = held.join(bound, ["class", "role"]).select("sig", "class", "label", "role")
+    across = held.repartition("sig").mapInArrow(_across, "a long, b long, need long, weight long")
+    across = across.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("weight").alias("n")).join(pairs.select("a", "b", "weight"), ["a", "b"], "left")
+    across = across.where(F.col("n") + F.coalesce("weight", F.lit(0)) >= F.col("need")).select("a", "b")
     more = _linked(scratch.table(rest.select("a", "b").unionByName(across).distinct(), "rest"), sets)
     if not more.isEmpty():
         labels = components(sure.unionByName(more))
