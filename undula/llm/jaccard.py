@@ -15,12 +15,20 @@ deletion   (H + 1) / 2 segments; one differs in at most one shingle. Signatures
 Sets with too many empty segments for the first use the second as well, among
 themselves. Sets that are equal count once from the start.
 
-Signatures are dealt by hash. Up to SMALL sets that share one are paired. Of larger
-groups, each set is paired with one of them only; after those pairs are verified, a
-group whose sets are all connected is done. Otherwise a set may still do without
-its r remaining large groups if its agreements outnumber them (m - H > empty + r);
-sets that can't are compared across components. No group is dropped or capped, so
-no link is lost. Verification compares the whole sets.
+Signatures are dealt by hash. Up to SMALL sets that share one are paired; of larger
+groups, each set is paired with one of them only. Partners share ``slack`` = m - H -
+(empty segments) signatures at least, which prunes pairs by how many they share.
+After each set's best pair is verified, large groups whose sets are all connected are
+done. Of the others, a set may
+
+- do without all r it is in, if slack > r: its partners share a small group too;
+- otherwise do without its slack - 1 most frequent ones (prefix filter).
+
+In what is left, sets of different components meet: each first with the one nearest
+by a parity sketch, and after those are verified with all that are still apart. The
+sketch's distance never exceeds the sets' difference, so it only leaves out pairs that
+can't be linked. No group is dropped or capped, so no link is lost. Verification
+compares the whole sets.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.llm import scratch
@@ -92,7 +100,7 @@ def allocation(band: int) -> tuple[bool, int, int]:
     most = (high + high * 5 // 4) // 9
     if not most:
         return True, 1, 0
-    weak = 3.0  # what a signature of one shingle or none costs beside its storage
+    weak = 1.0  # what a signature of one shingle or none costs beside its storage
     pairs = most // 2 + 1
     mean = low / pairs
     best = (low + pairs + weak * low * math.exp(-mean) * (1 + mean), False, pairs)
@@ -157,11 +165,20 @@ def _class(s: np.ndarray) -> int:
         return int(mix(mix(total[:1]) + total[1:]).view(np.int64)[0])
 
 
+SKETCH = 512
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """Parities of how many items fall on each of SKETCH bits: sets that differ in d items differ in d bits at most."""
+    return np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in pieces(batch.column(1)):
-            sets = [(len(s), _class(s) if len(s) else None) for s in shingle_sets(batch.column(1).slice(lo, hi - lo))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())], names=["doc_id", "n", "class"])
+            sets = [(len(s), _class(s), _sketch(s)) if len(s) else (0, None, None) for s in shingle_sets(batch.column(1).slice(lo, hi - lo))]
+            columns = [pa.array([x[j] for x in sets], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=["doc_id", "n", "class", "sketch"])
 
 
 def _deal(buckets: int):
@@ -215,7 +232,7 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b, weight, roles) of sets that share signatures, and members (a = set, sig, role_a) of large groups.
+    """Pairs (a < b, weight, roles) of sets that share signatures, and members (a = set, weight = size, sig, role_a) of large groups.
 
     Two sets that are both in a band as larger partners meet in the band above.
     """
@@ -268,7 +285,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     large = np.flatnonzero(group > SMALL)
     if len(large):
         none = pa.nulls(len(large), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(classes[large]), none, none, pa.array(sigs[large].view(np.int64)), pa.array(roles[large]), none], names=["a", "b", "weight", "sig", "role_a", "role_b"])
+        yield pa.RecordBatch.from_arrays([pa.array(classes[large]), none, pa.array(group[large]), pa.array(sigs[large].view(np.int64)), pa.array(roles[large]), none], names=["a", "b", "weight", "sig", "role_a", "role_b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,77 +316,101 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return scratch.table(rows.mapInArrow(_verify, "a long, b long"), "verified")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each group, and the agreements they need; pairs leave a task in blocks."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
-        return
-    sig, node, label, role = (table[x].to_numpy() for x in ("sig", "class", "label", "role"))
-    order = np.lexsort((node, label, sig))
-    sig, node, label, role = sig[order], node[order], label[order], role[order]
-    ends = np.searchsorted(sig, sig, "right")
-    starts = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (label[1:] != label[:-1]))))
-    other = np.append(starts, len(sig))[np.searchsorted(starts, np.arange(len(sig)), "right")]  # first row of the next component
-    held: list[np.ndarray] = []
-    for i in range(len(sig)):
-        for lo in range(int(other[i]), int(ends[i]), 1 << 16):
-            part = slice(lo, min(int(ends[i]), lo + (1 << 16)))
-            fit = (role[part] & role[i] & 1) == 0
-            rest, need = node[part][fit], np.maximum(role[part][fit], role[i]) >> 1
-            held.append(np.stack([np.minimum(rest, node[i]), np.maximum(rest, node[i]), need], 1))
-        if sum(map(len, held[-64:])) > 1 << 16 or len(held) > 1 << 12 or i == len(sig) - 1:
-            if held:
-                rows, n = np.unique(np.concatenate(held), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, j].copy()) for j in range(3)), pa.array(n)], names=["a", "b", "need", "weight"])
-            held = []
+def _across(nearest: bool):
+    """Pairs of different components in each group that can be linked: all of them, or each set's nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
+            return
+        sig, node, label, role, size = (table[x].to_numpy() for x in ("sig", "class", "label", "role", "n"))
+        order = np.lexsort((node, label, sig))
+        sig, node, label, role, size = sig[order], node[order], label[order], role[order], size[order]
+        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(sig), SKETCH // 64)[order]
+        lo, hi = np.searchsorted(sig, sig, "left"), np.searchsorted(sig, sig, "right")
+        starts = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (label[1:] != label[:-1]))))
+        other = np.append(starts, len(sig))[np.searchsorted(starts, np.arange(len(sig)), "right")]  # first row of the next component
+        held: list[np.ndarray] = []
+        for i in range(len(sig)):
+            best = SKETCH + 1
+            for at in range(int(lo[i] if nearest else other[i]), int(hi[i]), 1 << 16):
+                part = slice(at, min(int(hi[i]), at + (1 << 16)))
+                apart = np.bitwise_count(bits[part] ^ bits[i]).sum(1)
+                fit = ((role[part] & role[i] & 1) == 0) & _close(size[part], size[i]) & (9 * apart.astype(np.int64) <= size[part] + size[i]) & (label[part] != label[i])
+                rest = node[part][fit]
+                if nearest and len(rest):
+                    k = int(apart[fit].argmin())
+                    best, rest = (int(apart[fit][k]), rest[k : k + 1]) if apart[fit][k] < best else (best, rest[:0])
+                    if len(rest) and at > lo[i] and held:
+                        held.pop()
+                if len(rest):
+                    held.append(np.stack([np.minimum(rest, node[i]), np.maximum(rest, node[i])], 1))
+            if len(held) > 1 << 12 or sum(map(len, held[-4:])) > 1 << 16 or i == len(sig) - 1:
+                if held:
+                    rows = np.unique(np.concatenate(held), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], names=["a", "b"])
+                held = []
+
+    return run
+
+
+def _labelled(df: DataFrame, column: str, name: str, labels: DataFrame) -> DataFrame:
+    one = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+    return df.join(one, F.col(column) == F.col("__node"), "left").withColumn(name, F.coalesce("__label", F.col(column))).drop("__node", "__label")
+
+
+def _mixed(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of large groups in which components differ, without those that a set can do without."""
+    held = scratch.table(_labelled(large, "class", "label", labels), "large")
+    mixed = held.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    held = held.join(mixed, "sig")
+    # of a set's n groups, the rarest n - slack + 1; none if n < slack. A set has no more groups than segments
+    own = Window.partitionBy("class", "role")
+    held = held.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("k", F.row_number().over(own.orderBy("size", "sig")))
+    return held.where(F.col("k") <= F.col("n") - F.greatest(F.shiftright("role", 1), F.lit(1)) + 1).select("sig", "class", "label", "role", "size")
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, n, class; labels: node, label): sets of documents and their components."""
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    members = scratch.table(texts.mapInArrow(_members, f"doc_id {kind}, n long, class long"), "members")
+    members = scratch.table(texts.mapInArrow(_members, f"doc_id {kind}, n long, class long, sketch binary"), "members")
     buckets = scratch.scan_tasks(docs)
     dealt = texts.select("text").mapInArrow(_deal(buckets), _BLOCKS).repartitionById(buckets, F.col("bucket"))
     found = scratch.table(dealt.mapInArrow(_meet, _CANDIDATES), "candidates")
     del dealt
     scratch.free_shuffles(docs.sparkSession)
-    large = found.where("b is null").select(F.col("a").alias("class"), "sig", F.col("role_a").alias("role"))
+    large = found.where("b is null").select(F.col("a").alias("class"), "sig", F.col("role_a").alias("role"), F.col("weight").alias("size"))
     # partners share as many segments as either's slack says: in small groups (weight) or in its large ones
     pairs = found.where("b is not null").groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("role_a").alias("role_a"), F.max("role_b").alias("role_b"))
-    heavy = large.groupBy("class", "role").agg(F.count(F.lit(1)).alias("n"))
+    heavy = scratch.table(large.groupBy("class", "role").agg(F.count(F.lit(1)).alias("n")), "heavy")
     for side in "ab":
         own = heavy.select(F.col("class").alias(side), F.col("role").alias(f"role_{side}"), F.col("n").alias(f"n_{side}"))
         pairs = pairs.join(own, [side, f"role_{side}"], "left").where(F.col("weight") + F.coalesce(f"n_{side}", F.lit(0)) >= F.shiftright(f"role_{side}", 1))
     pairs = scratch.table(pairs.select("a", "b", "weight"), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(large.select("class")).distinct()
+    bound = heavy.where(F.col("n") >= F.shiftright("role", 1)).select("class", "role")
+    large = scratch.table(large.join(bound, ["class", "role"]), "bound")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(bound.select("class")).distinct()
     first = members.groupBy("class").agg(F.min("doc_id").alias("first"))
     wanted = scratch.table(nodes.join(first, "class"), "wanted")
     chosen = texts.join(scratch.small(wanted), F.col("doc_id").eqNullSafe(F.col("first"))).select("class", "text")
-    sets = scratch.table(chosen.mapInArrow(_sets, "class long, items binary").dropDuplicates(["class"]), "sets")
+    sets = scratch.table(chosen.mapInArrow(_sets, "class long, items binary"), "sets")
     # each set with the partner it shares most signatures with
-    best = pairs.groupBy(F.col("b").alias("b")).agg(F.max(F.struct("weight", F.col("a").alias("a"))).alias("x")).select("x.a", "b")
+    best = pairs.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("x")).select("x.a", "b")
     best = scratch.table(best, "best")
     sure = _linked(best, sets)
     labels = components(sure)
-
-    def labelled(df: DataFrame, column: str, name: str) -> DataFrame:
-        one = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
-        return df.join(one, F.col(column) == F.col("__node"), "left").withColumn(name, F.coalesce("__label", F.col(column))).drop("__node", "__label")
-
-    rest = labelled(labelled(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), "a", "la"), "b", "lb").where("la <> lb")
-    held = scratch.table(labelled(large, "class", "label"), "large")
-    mixed = held.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    held = scratch.table(held.join(mixed, "sig"), "mixed")
-    # sets whose agreements may all lie in such groups; slack 0 has no other way
-    bound = held.groupBy("class", "role").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.shiftright("role", 1)).select("class", "role")
-    held = held.join(bound, ["class", "role"]).select("sig", "class", "label", "role")
-    across = held.repartition("sig").mapInArrow(_across, "a long, b long, need long, weight long")
-    across = across.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("weight").alias("n")).join(pairs.select("a", "b", "weight"), ["a", "b"], "left")
-    across = across.where(F.col("n") + F.coalesce("weight", F.lit(0)) >= F.col("need")).select("a", "b")
-    more = _linked(scratch.table(rest.select("a", "b").unionByName(across).distinct(), "rest"), sets)
-    if not more.isEmpty():
-        labels = components(sure.unionByName(more))
+    sketches = members.join(bound.select("class").distinct(), "class").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = scratch.table(sketches, "sketches")
+    for nearest in (True, False):
+        rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
+        rest = _labelled(_labelled(rest, "a", "la", labels), "b", "lb", labels).where("la <> lb").select("a", "b")
+        held = _mixed(large, labels).join(sketches, "class")
+        across = held.repartition("sig").mapInArrow(_across(nearest), "a long, b long")
+        more = _linked(scratch.table((across if nearest else across.unionByName(rest)).distinct(), "rest"), sets)
+        if not more.isEmpty():
+            sure = scratch.table(sure.unionByName(more), "sure")
+            labels = components(sure)
     return members, labels
 
 
