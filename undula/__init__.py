@@ -1,0 +1 @@
+"""Time-series analytics over DataFrames: one row a case, one inner array a channel."""
