@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undula.llm.kernels import releasing
+
 #: Words remembered by a worker, and as many of the time before.
 CACHE_WORDS = 300_000
 #: Characters after which a text is cut before the next word.
@@ -280,20 +282,23 @@ class Coder:
         return " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist() if i in self.names])
 
 
-_coders: dict[int, Coder] = {}
+_coders: dict[str, Coder] = {}
 
 
-def _coder(shared) -> Coder:
-    if shared.id not in _coders:
-        _coders[shared.id] = Coder(shared.value)
-    return _coders[shared.id]
+def _coder(shared: _Shared) -> Coder:
+    """This worker's coder; it lives on between tasks and queries, one at a time."""
+    if shared.name not in _coders:
+        _coders.clear()
+        _coders[shared.name] = Coder(shared.value)
+    return _coders[shared.name]
 
 
 class _Shared:
     """A vocabulary sent to each executor once (its size doesn't depend on the data)."""
 
     def __init__(self, spark, vocabulary: Vocabulary):
-        self.broadcast, self.id = spark.sparkContext.broadcast(vocabulary), id(vocabulary)
+        self.broadcast = spark.sparkContext.broadcast(vocabulary)
+        self.name = hashlib.sha256(repr((vocabulary.merges, vocabulary.added, vocabulary.pattern, vocabulary.end)).encode()).hexdigest()
 
     @property
     def value(self) -> Vocabulary:
@@ -311,6 +316,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """
     shared = _Shared(docs.sparkSession, Vocabulary.load(tokenizer))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
         for batch in batches:

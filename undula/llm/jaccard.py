@@ -45,13 +45,13 @@ from pyspark.sql import functions as F
 
 from undula.llm import scratch
 from undula.llm.components import components
-from undula.llm.kernels import bucket_of, buffer_of, mix, pack, pack_small, pieces, unpack, unpack_small, words
+from undula.llm.kernels import bucket_of, buffer_of, mix, pack, pack_small, pieces, releasing, unpack, unpack_small, words
 
 SHINGLE = 5
 #: Groups of up to so many sets are paired at once.
 SMALL = 8
 #: Signatures a task holds before it passes them on.
-HELD = 4_000_000
+HELD = 1_500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = np.uint64(0xFFFFFFFFFFFFFF00)  # 56 bits of a signature: chance agreements only cost a verification
@@ -173,6 +173,7 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
+@releasing
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in pieces(batch.column(1)):
@@ -200,6 +201,7 @@ def _deal(buckets: int):
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["bucket", "n", "sigs", "owners", "sets", "classes", "sizes", "roles"])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, classes, sizes, roles, size = [], [], [], [], 0
@@ -231,6 +233,7 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
 
 
+@releasing
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a < b, weight, roles) of sets that share signatures, and members (a = set, weight = size, sig, role_a) of large groups.
 
@@ -288,6 +291,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(classes[large]), none, pa.array(group[large]), pa.array(sigs[large].view(np.int64)), pa.array(roles[large]), none], names=["a", "b", "weight", "sig", "role_a", "role_b"])
 
 
+@releasing
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in pieces(batch.column(1)):
@@ -370,12 +374,15 @@ def _mixed(large: DataFrame, labels: DataFrame) -> DataFrame:
     return held.where(F.col("k") <= F.col("n") - F.greatest(F.shiftright("role", 1), F.lit(1)) + 1).select("sig", "class", "label", "role", "size")
 
 
-def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, n, class; labels: node, label): sets of documents and their components."""
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: doc_id, n, class; classes: class, first, docs; labels: node, label): sets of documents and their components."""
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     members = scratch.table(texts.mapInArrow(_members, f"doc_id {kind}, n long, class long, sketch binary"), "members")
-    buckets = scratch.scan_tasks(docs)
+    # equal sets meet here once, after each task has merged its own
+    classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.table(classes, "classes")
+    buckets = 2 * scratch.scan_tasks(docs)
     dealt = texts.select("text").mapInArrow(_deal(buckets), _BLOCKS).repartitionById(buckets, F.col("bucket"))
     found = scratch.table(dealt.mapInArrow(_meet, _CANDIDATES), "candidates")
     del dealt
@@ -391,8 +398,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     bound = heavy.where(F.col("n") >= F.shiftright("role", 1)).select("class", "role")
     large = scratch.table(large.join(bound, ["class", "role"]), "bound")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(bound.select("class")).distinct()
-    first = members.groupBy("class").agg(F.min("doc_id").alias("first"))
-    wanted = scratch.table(nodes.join(first, "class"), "wanted")
+    wanted = scratch.table(nodes.join(classes.select("class", "first"), "class"), "wanted")
     chosen = texts.join(scratch.small(wanted), F.col("doc_id").eqNullSafe(F.col("first"))).select("class", "text")
     sets = scratch.table(chosen.mapInArrow(_sets, "class long, items binary"), "sets")
     # each set with the partner it shares most signatures with
@@ -400,8 +406,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     best = scratch.table(best, "best")
     sure = _linked(best, sets)
     labels = components(sure)
-    sketches = members.join(bound.select("class").distinct(), "class").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    sketches = scratch.table(sketches, "sketches")
+    sketches = scratch.table(classes.join(bound.select("class").distinct(), "class").select("class", "n", "sketch"), "sketches")
     for nearest in (True, False):
         rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
         rest = _labelled(_labelled(rest, "a", "la", labels), "b", "lb", labels).where("la <> lb").select("a", "b")
@@ -411,7 +416,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
         if not more.isEmpty():
             sure = scratch.table(sure.unionByName(more), "sure")
             labels = components(sure)
-    return members, labels
+    return members, classes, labels
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -423,10 +428,10 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     null doc_id takes part, but can't name a component. Rows that repeat a doc_id are
     texts of their own. An empty table gives no rows; other columns are ignored.
     """
-    members, labels = links(docs, key, text)
-    classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"))
+    members, classes, labels = links(docs, key, text)
+    classes = classes.select("class", F.col("first").alias("least"), "docs")
     classes = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
-    classes = scratch.table(classes.select("class", "label", "least", "docs"), "classes")  # a row a distinct text
+    classes = scratch.table(classes.select("class", "label", "least", "docs"), "labelled")  # a row a distinct text
     classes = classes.join(classes.groupBy("label").agg(F.min("least").alias("component_id")), "label")
     named = scratch.table(classes.where("docs > 1 or least <> component_id").select(F.col("class").alias("__class"), "component_id"), "named")
     out = members.join(named, F.col("class") == F.col("__class"), "left")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import scratch
-from undula.llm.kernels import bucket_of, buffer_of, count_sorted, mix, pack, pack_small, pieces, segment_sum, unpack, unpack_small, words
+from undula.llm.kernels import bucket_of, buffer_of, count_sorted, mix, pack, pack_small, pieces, releasing, segment_sum, unpack, unpack_small, words
 
 #: Stands for the end of a text; no word hashes are reserved, 64 bits make a clash improbable.
 END = np.uint64(0x5EED0F7E47E4D001)
@@ -72,6 +72,7 @@ def _blocks(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, buckets: i
 def _counting(keys_of: Callable[[pa.Array], np.ndarray], bucket: Callable[[np.ndarray], np.ndarray], buckets: int):
     """Count the keys of all texts a task reads; distinct ones only go on."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -358,6 +359,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     gets the lowest level's uniform share. Other columns are ignored.
     """
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import scratch
-from undula.llm.kernels import LOWER, NOT_ALNUM, buffer_of, pieces, segment_sum, words
+from undula.llm.kernels import LOWER, NOT_ALNUM, buffer_of, pieces, releasing, segment_sum, words
 from undula.llm.lm import discounts, fold
 
 ORDER = 7
@@ -189,6 +189,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+@releasing
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Top-level n-grams of labelled texts and how often each class has them."""
     for batch in batches:
@@ -237,6 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     model = Model(_levels(codes[order], np.stack([grams["ordinary"].to_numpy(), grams["toxic"].to_numpy()], 1)[order]))
     shared = spark.sparkContext.broadcast(model)
 
+    @releasing
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in pieces(batch.column(0)):
@@ -256,6 +258,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """doc_id and score (0 to 1, higher: toxic) of every whole text; null and empty texts too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with SAMPLE only
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in pieces(batch.column(1)):
@@ -270,6 +273,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in pieces(batch.column(place)):
