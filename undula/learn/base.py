@@ -89,7 +89,7 @@ def fit_head(df: DataFrame, features: Featuriser, head: Estimator, y: str, class
     target = class_index(F.col(y), classes) if classes is not None else F.col(y).cast("double")
     rows = features(df).select(array_to_vector("features").alias("__features"), target.alias("__label"))
     head = head.copy({})
-    for name, column in (("featuresCol", "__features"), ("labelCol", "__label"), ("predictionCol", "__prediction"), ("probabilityCol", "__probability"), ("rawPredictionCol", "__raw")):
+    for name, column in (("featuresCol", "__features"), ("labelCol", "__label"), ("predictionCol", "__prediction"), ("probabilityCol", "__probability")):
         if head.hasParam(name):
             head._set(**{name: column})
     rows.cache()

@@ -40,10 +40,19 @@ def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return f / np.maximum(np.linalg.norm(a, axis=1)[:, None, None] * np.linalg.norm(b, axis=1)[None, :, None], 1e-12)
 
 
-def sink(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+def own_kernel(a: np.ndarray, gamma: float) -> np.ndarray:
+    """Each series' kernel with itself, before normalisation."""
+    n = a.shape[1]
+    size = arrow.next_power(2 * n - 1)
+    f = np.fft.irfft(np.abs(np.fft.rfft(a, size)) ** 2, size)
+    f = np.concatenate([f[:, -(n - 1) :], f[:, :n]], 1) if n > 1 else f[:, :1]
+    return np.exp(gamma * f / np.maximum((a**2).sum(1, keepdims=True), 1e-12)).sum(1)
+
+
+def sink(a: np.ndarray, b: np.ndarray, gamma: float, own_b: np.ndarray | None = None) -> np.ndarray:
     """Shift-invariant kernel: sums of exponentials of the cross-correlations, normalised by the series' own."""
-    own = lambda m: np.exp(gamma * np.stack([cross(x[None], x[None])[0, 0] for x in m])).sum(1)
-    return np.exp(gamma * cross(a, b)).sum(2) / np.sqrt(own(a)[:, None] * own(b)[None, :])
+    own_b = own_kernel(b, gamma) if own_b is None else own_b
+    return np.exp(gamma * cross(a, b)).sum(2) / np.sqrt(own_kernel(a, gamma)[:, None] * own_b[None, :])
 
 
 def shapes(m: np.ndarray, k: int, rng: np.random.RandomState, rounds: int = 10) -> np.ndarray:
@@ -125,11 +134,12 @@ class GRAILClassifier(SeriesClassifier):
         values, vectors = np.linalg.eigh(sink(centers, centers, gamma))
         keep = values > 1e-10 * values.max()
         project = vectors[:, keep] / np.sqrt(values[keep])
+        own = own_kernel(centers, gamma)
 
         def features(rows: DataFrame) -> DataFrame:
             rows = as_series(rows)
             validate(rows, Capabilities(univariate_only=True), like=meta)
-            return rows.withColumn("features", arrow.per_case(F.col("x"), lambda c: (sink(z(c[:1]), centers, gamma) @ project)[0].tolist(), "array<double>"))
+            return rows.withColumn("features", arrow.per_case(F.col("x"), lambda c: (sink(z(c[:1]), centers, gamma, own) @ project)[0].tolist(), "array<double>"))
 
         return features
 
