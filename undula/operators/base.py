@@ -6,6 +6,7 @@ transform without state needs no fitting; ``fit`` then validates and returns it.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.ml import Estimator, Model, Transformer
@@ -130,3 +131,15 @@ def clamp_order(wanted: int | Callable[[SeriesMeta], int], least: int, meta: Ser
             return meta.min_length - 1
         raise ValueError(f"the number of lags ({order}) exceeds the series length less one ({meta.min_length - 1})")
     return order
+
+
+def check_n_jobs(n_jobs: int | None) -> int:
+    """Threads that a number of jobs stands for: none or 0 is 1, negative ones count from all cores.
+
+    Spark schedules tasks itself, so operators don't take the number; this serves code that does.
+    """
+    if n_jobs is not None and (not isinstance(n_jobs, int) or isinstance(n_jobs, bool)):
+        raise ValueError(f"n_jobs must be None or an integer, not {n_jobs!r}")
+    if not n_jobs:
+        return 1
+    return n_jobs if n_jobs > 0 else max(1, (os.cpu_count() or 1) + 1 + n_jobs)
