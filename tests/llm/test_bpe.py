@@ -37,7 +37,7 @@ def test_failing_pairs_are_found():
     for w in words:
         spelt = "".join(coder.letters[b] for b in w.encode())
         exact = coder._exact([*(coder.ids[c] for c in spelt[:-1]), coder.ids[spelt[-1] + coder.end]])
-        assert np.frombuffer(coder.cache[w][0], "<u4").tolist() == exact
+        assert np.frombuffer(coder.cache[w], "<u4").tolist() == exact
 
 
 def test_long_texts_are_cut_at_blanks(monkeypatch):

@@ -9,6 +9,7 @@ rank than those undone. Only words with a failing pair are merged exactly.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -17,6 +18,8 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heappop, heappush
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from undula.llm.kernels import releasing
 
 #: Words remembered by a worker, and as many of the time before.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Characters after which a text is cut before the next word.
 PIECE = 1 << 20
 _NONE = np.int64(1 << 40)
@@ -116,8 +119,9 @@ class Coder:
         self.reach: dict[str, int] = {}  # longest token by its first two letters
         for t in self.inner:
             self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
-        self.cache: dict[str, tuple[bytes, str, int]] = {}
-        self.older: dict[str, tuple[bytes, str, int]] = {}
+        self.name_list = [self.names.get(i, "") for i in range(max(self.names) + 1)]
+        self.cache: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, token: str) -> bool:
         return len(self._exact(self._symbols_of(token))) == 1
@@ -215,7 +219,8 @@ class Coder:
 
     def learn(self, words: list[str]) -> None:
         """Encode new words into the cache."""
-        spelt = ["".join([self.letters[x] for x in w.encode()]) for w in words]
+        # printable ASCII stands for itself
+        spelt = [w if w.isascii() and w.isprintable() else "".join([self.letters[x] for x in w.encode()]) for w in words]
         guess = [self._greedy(s) for s in spelt]
         counts = np.fromiter(map(len, guess), np.int64, len(guess))
         flat = np.fromiter((t for g in guess for t in g), np.int64, int(counts.sum()))
@@ -223,11 +228,16 @@ class Coder:
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         failing = {*owner[inside[~self.compatible(flat[inside], flat[inside + 1])]].tolist()}
         self.failed = len(failing)
-        for i, (word, ids) in enumerate(zip(words, guess, strict=True)):
+        packed, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        ids_of, cache, start = self.ids, self.cache, 0
+        for i, (word, end) in enumerate(zip(words, ends, strict=True)):
             if i in failing:
                 s = spelt[i]
-                ids = self._exact([*(self.ids[c] for c in s[:-1]), self.ids[s[-1] + self.end]])
-            self.cache[word] = (struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[t] for t in ids]), len(ids))
+                ids = self._exact([*map(ids_of.__getitem__, s[:-1]), ids_of[s[-1] + self.end]])
+                cache[word] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                cache[word] = packed[start:end]
+            start = end
 
     def words_of(self, text: str) -> list[str]:
         """Pre-tokenised words; added tokens are words of their own, marked by a leading NUL."""
@@ -247,20 +257,19 @@ class Coder:
     def encode_pieces(self, pieces: list[str]) -> list[tuple[bytes, str, int]]:
         """(ids as little-endian 32-bit integers, decoded text, number of ids) of each piece."""
         found = [self.words_of(x) for x in pieces]
-        cache = self.cache
-        new = {w for words in found for w in words if w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:  # words in use come over from the older half
-            self.older, self.cache = cache, {}
-            cache = self.cache
-            new = {w for words in found for w in words}
-        again = {w: x for w in new if (x := self.older.get(w))}
-        cache |= again
-        cache |= {w: (np.array([self.added[w[1:]]], "<u4").tobytes(), w[1:], 1) for w in new if w[0] == "\0" and w[1:] in self.added}
-        self.learn([w for w in new if w not in cache])
+        if len(self.cache) > CACHE_WORDS:  # words in use come over from the older half
+            self.older, self.cache = self.cache, {}
+        known = [list(map(self.cache.get, words)) for words in found]
+        new = {w for words, got in zip(found, known, strict=True) for w in compress(words, map(not_, got))}
+        self.cache |= {w: x for w in new if (x := self.older.get(w))}
+        self.cache |= {w: struct.pack("<I", self.added[w[1:]]) for w in new if w[0] == "\0" and w[1:] in self.added}
+        self.learn([w for w in new if w not in self.cache])
         out = []
-        for words in found:
-            got = [cache[w] for w in words]
-            out.append((b"".join([x[0] for x in got]), " ".join([x[1] for x in got]), sum([x[2] for x in got])))
+        for words, got in zip(found, known, strict=True):
+            for i in list(compress(range(len(got)), map(not_, got))):
+                got[i] = self.cache[words[i]]
+            ids = b"".join(got)
+            out.append((ids, self.decode(ids), len(ids) // 4))
         return out
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, str, int]]:
@@ -279,7 +288,10 @@ class Coder:
 
     def decode(self, ids: bytes) -> str:
         """Text of little-endian 32-bit ids: token strings with blanks between; unknown ids are left out."""
-        return " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist() if i in self.names])
+        flat = np.frombuffer(ids, "<u4")
+        if len(flat) and int(flat.max()) >= len(self.name_list):
+            flat = flat[flat < len(self.name_list)]
+        return " ".join(map(self.name_list.__getitem__, flat.tolist()))
 
 
 _coders: dict[str, Coder] = {}
@@ -322,7 +334,10 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
+                # nothing here makes cycles, and the collector would walk the words it remembers
+                gc.disable()
                 ids, decoded, counts = zip(*coder.encode_batch([x or "" for x in part.column(1).to_pylist()]), strict=True)
+                gc.enable()
                 columns = [part.column(0), pa.array(counts, pa.int64())]
                 if digests_only:
                     columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]
