@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; working arrays take about forty times as much.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -81,7 +81,7 @@ def releasing(run):
     return wrapped
 
 
-def pieces(column: pa.Array, limit: int = 4 * CHUNK) -> Iterator[tuple[int, int]]:
+def pieces(column: pa.Array, limit: int = 8 * CHUNK) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes, a longer text alone."""
     _, offsets = buffer_of(column)
     lo = 0
