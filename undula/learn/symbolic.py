@@ -15,7 +15,7 @@ from statistics import NormalDist
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, UnivariateFeatureSelector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,7 +118,11 @@ class _Symbolic:
             rep.learn(df, meta)
             bag = rows.select("label", rep.tokens(F.col("x"), runs).alias("bag"))
             bag.cache()
-            counted = CountVectorizer(inputCol="bag", outputCol="counts", vocabSize=VOCABULARY, binary=True).fit(bag)
+            terms = bag.select(F.explode(F.array_distinct("bag")).alias("term")).groupBy("term").count()
+            # in a fixed order, so that equal counts don't depend on the reading
+            vocabulary = [r.term for r in terms.orderBy(F.desc("count"), "term").limit(VOCABULARY).collect()]
+            counted = CountVectorizerModel.from_vocabulary(vocabulary or [""], inputCol="bag", outputCol="counts")
+            counted.setBinary(True)
             size = len(counted.vocabulary)
             rng = np.random.RandomState((self.seed or 0) + i)
             kept = np.arange(size)
@@ -126,10 +130,8 @@ class _Symbolic:
                 kept = np.sort(rng.permutation(size)[: per_rep if order == "R" else 4 * per_rep])
             if order in ("S", "RS", "SR") and len(kept) > per_rep:
                 many = 4 * per_rep if order == "SR" else per_rep
-                picker = UnivariateFeatureSelector(featuresCol="counts", labelCol="label", outputCol="s", selectionMode="numTopFeatures")
-                picker.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(int(min(size, many if order != "RS" else size)))
-                ranked = picker.fit(counted.transform(bag)).selectedFeatures
-                kept = np.array([k for k in ranked if k in set(kept.tolist())][:many])
+                score = chi_squared(bag, vocabulary)
+                kept = kept[np.lexsort((kept, -score[kept]))][:many]
             if order == "SR" and len(kept) > per_rep:
                 kept = rng.permutation(kept)[:per_rep]
             bag.unpersist()
@@ -150,6 +152,23 @@ class _Symbolic:
         return features
 
 
+def chi_squared(bag: DataFrame, vocabulary: list[str]) -> np.ndarray:
+    """Chi squared of each term's presence against the labels; a row a term and class reaches the driver."""
+    labels = {r.label: r["count"] for r in bag.groupBy("label").count().collect()}
+    known = bag.sparkSession.createDataFrame([(t, i) for i, t in enumerate(vocabulary)], "term string, i int")
+    present = bag.select("label", F.explode(F.array_distinct("bag")).alias("term")).join(F.broadcast(known), "term")  # VOCABULARY rows at most
+    seen = np.zeros((len(vocabulary), len(labels)))
+    order = {y: k for k, y in enumerate(sorted(labels))}
+    for r in present.groupBy("i", "label").count().collect():
+        seen[r.i, order[r.label]] = r["count"]
+    n = np.array([labels[y] for y in sorted(labels)], float)
+    share = seen.sum(1, keepdims=True) / n.sum()
+    expected = share * n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        both = (seen - expected) ** 2 / expected + (seen - expected) ** 2 / (n - expected)
+    return np.nan_to_num(both).sum(1).round(9)
+
+
 def _pick(counts: Column):
     return lambda k: F.element_at(counts, k + 1)
 
@@ -169,6 +188,10 @@ class MrSEQLClassifier(_Symbolic, SeriesClassifier):
             raise ValueError("symrep is 'sax', 'sfa' or a list of both")
         self.seql_mode, self.symrep, self.custom_config, self.random_state = seql_mode, symrep, custom_config, random_state
 
+    @classmethod
+    def test_params(cls) -> dict:
+        return {"random_state": 0}
+
     @property
     def seed(self):
         return self.random_state
