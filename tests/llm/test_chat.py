@@ -47,6 +47,23 @@ def test_cycles_are_reported(spark):
     assert all("calls that wait for each other" in r.problems for r in run(spark, rows))
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_long_chains_are_no_cycles(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    n = 70
+    turns = list(range(2 * n))[::-1]  # every message comes before what it waits for
+    rows = []
+    for i in range(n):
+        rows += [(1, turns[2 * i], "assistant", call({"id": str(i), "name": "f", "arguments": {}, "after": [str(i - 1)] if i else []})), (1, turns[2 * i + 1], "tool", result(str(i), ""))]
+    # a cycle, a call that waits for it, and one that the cycle waits for
+    for i, after in (("p", []), ("a", ["b", "p"]), ("b", ["a"]), ("z", ["b"])):
+        rows += [(2, len(rows), "assistant", call({"id": i, "name": "f", "arguments": {}, "after": after})), (2, len(rows) + 1, "tool", result(i, ""))]
+    got = run(spark, rows)
+    chain = [r for r in got if r.conv_id == 1]
+    assert [r.turn for r in chain] == turns and all(r.valid for r in chain)
+    assert [r.valid for r in got if r.conv_id == 2] == [True] * 2 + [False] * 6
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None), (3, 0, "tool", "garbage"), (3, 1, "assistant", "{not json"), (3, 2, "assistant", '{"tool_calls": 5}'), (3, 2, "assistant", '{"tool_calls": 5}'), (3, None, "user", ""), (3, 4, "user", "x" * 100_000), (3, 5, "assistant", call({"id": 1, "name": "f"}))]
     got = run(spark, rows)

@@ -18,14 +18,15 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undula.llm import scratch
 
-#: Chains of calls longer than this are reported as cyclic.
-MOST_ROUNDS = 64
+#: Turns of a conversation whose links one task follows in a round; no bound on chains, which go on in the next round.
+BLOCK = 4096
 
 _PARSED = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string,after:array<string>>>, result_of string, problem string"
 
@@ -182,12 +183,44 @@ def _write(schemas: dict[str, dict]):
     return run
 
 
+def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, sort, depth) of the messages all of whose predecessors are known, or become so in this task."""
+    table = pa.Table.from_batches(list(batches), _LINK)
+    before, after, turn, sort, depth = (table[x].fill_null(-2).to_numpy() for x in ("before", "next", "turn", "sort", "depth"))
+    if not len(after):
+        return
+    rows, own = np.unique(after, return_inverse=True)
+    known = depth >= 0
+    sorts, depths = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
+    np.maximum.at(sorts, own, turn)
+    np.maximum.at(sorts, own[known], sort[known])
+    np.maximum.at(depths, own[known], depth[known] + 1)
+    waiting = np.bincount(own[~known], minlength=len(rows)).tolist()
+    source = np.minimum(np.searchsorted(rows, before), len(rows) - 1)
+    inside = np.flatnonzero(~known & (rows[source] == before))
+    inside = inside[np.argsort(source[inside], kind="stable")]
+    starts = np.searchsorted(source[inside], np.arange(len(rows) + 1)).tolist()
+    targets, sorts, depths = own[inside].tolist(), sorts.tolist(), depths.tolist()
+    done = [i for i, n in enumerate(waiting) if not n]
+    for i in done:  # grows meanwhile
+        for j in targets[starts[i] : starts[i + 1]]:
+            sorts[j], depths[j], waiting[j] = max(sorts[j], sorts[i]), max(depths[j], depths[i] + 1), waiting[j] - 1
+            if not waiting[j]:
+                done.append(j)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[done]), pa.array([sorts[i] for i in done], pa.int64()), pa.array([depths[i] for i in done], pa.int32())], names=["row", "sort", "depth"])
+
+
+_LINK = pa.schema([("before", pa.int64()), ("next", pa.int64()), ("conv_id", pa.int64()), ("turn", pa.int64()), ("sort", pa.int64()), ("depth", pa.int32())])
+
+
 def link(conversations: DataFrame) -> DataFrame:
     """Parsed messages with their links: linked, unanswered, repeated, cyclic, depth.
 
     ``depth`` is the length of the longest chain call -> result -> call before a
-    message, ``sort`` the latest turn in it; both spread along hash joins round by
-    round until nothing moves. By (sort, depth) every message follows its chain.
+    message, ``sort`` the latest turn in it. Messages without open predecessors are
+    peeled off until none is left: a task follows chains through a block of turns, and
+    a round carries them on to other blocks. What is never peeled is on or behind a
+    cycle (cyclic). By (sort, depth) every other message follows its chain.
     """
     parsed = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(_parse_batches, _PARSED)
     parsed = scratch.table(parsed.withColumn("row", F.monotonically_increasing_id()), "messages")
@@ -199,7 +232,7 @@ def link(conversations: DataFrame) -> DataFrame:
         linked = calls_state
     else:
         calls = scratch.table(calls, "calls")
-        results = parsed.where("result_of is not null").select("row", "conv_id", F.col("result_of").alias("id"))
+        results = parsed.where("result_of is not null").select("row", "conv_id", "turn", F.col("result_of").alias("id"))
         own = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
         key = ["conv_id", "id"]
         repeated = calls.join(own.where("n > 1"), key).where(F.col("row") != F.col("first.row")).groupBy("row").agg(F.collect_set("id").alias("ids"))
@@ -208,21 +241,25 @@ def link(conversations: DataFrame) -> DataFrame:
         linked = results.join(own, key, "left_semi").select("row")
         # an edge for each message that has to come after another
         first = own.select(*key, F.col("first.row").alias("before"))
-        edges = results.join(first, key).select("before", F.col("row").alias("next"))
-        needs = calls.select("row", "conv_id", F.explode("after").alias("id"))
+        turn = F.coalesce("turn", F.lit(-1)).alias("turn")
+        edges = results.join(first, key).select("before", F.col("row").alias("next"), "conv_id", turn)
+        needs = calls.select("row", "conv_id", "turn", F.explode("after").alias("id"))
         done = results.groupBy(*key).agg(F.max("row").alias("answer"))
-        needs = needs.join(first, key).join(done, key, "left").select(F.coalesce("answer", "before").alias("before"), F.col("row").alias("next"))
+        needs = needs.join(first, key).join(done, key, "left").select(F.coalesce("answer", "before").alias("before"), F.col("row").alias("next"), "conv_id", turn)
         edges = scratch.table(edges.unionByName(needs).where("before <> next").distinct(), "edges")
-        nodes = edges.select(F.explode(F.array("before", "next")).alias("row")).distinct()
-        moved = nodes.join(parsed.select("row", F.coalesce("turn", F.lit(-1)).cast("long").alias("sort")), "row").withColumn("depth", F.lit(0))
-        for _ in range(MOST_ROUNDS + 1):
-            later = edges.join(moved, F.col("before") == F.col("row")).select(F.col("next").alias("row"), "sort", (F.col("depth") + 1).alias("depth"))
-            after = scratch.table(moved.unionByName(later).groupBy("row").agg(F.max("sort").alias("sort"), F.max("depth").alias("depth")), "order")
-            changed = not after.join(moved, ["row", "sort", "depth"], "left_anti").isEmpty()
-            moved = after
-            if not changed:
+        followers = edges.select(F.col("next").alias("row")).distinct()
+        roots = edges.select(F.col("before").alias("row")).distinct().join(followers, "row", "left_anti")
+        turns = parsed.select("row", F.coalesce("turn", F.lit(-1)).alias("sort"))
+        known = scratch.table(roots.join(turns, "row").withColumn("depth", F.lit(0)), "order")
+        while True:
+            waiting = edges.join(known.select(F.col("row").alias("next")), "next", "left_anti")
+            waiting = waiting.join(known.withColumnRenamed("row", "before"), "before", "left").select(_LINK.names)
+            more = scratch.table(waiting.repartition("conv_id", F.floor(F.col("turn") / BLOCK)).mapInArrow(_peel, "row long, sort long, depth int"), "peeled")
+            if more.isEmpty():
                 break
-        moved = moved.withColumn("cyclic", F.col("depth") > MOST_ROUNDS)
+            known = scratch.table(known.unionByName(more), "order")
+        stuck = followers.join(known, "row", "left_anti").join(turns, "row").withColumn("depth", F.lit(0))
+        moved = known.withColumn("cyclic", F.lit(False)).unionByName(stuck.withColumn("cyclic", F.lit(True)))
     out = parsed.join(moved, "row", "left").join(linked.distinct().withColumn("linked", F.lit(True)), "row", "left")
     out = out.join(unanswered.withColumnRenamed("ids", "unanswered"), "row", "left").join(repeated.withColumnRenamed("ids", "repeated"), "row", "left")
     return out.withColumns({"sort": F.coalesce("sort", "turn", F.lit(-1)), "depth": F.coalesce("depth", F.lit(0)), "cyclic": F.coalesce("cyclic", F.lit(False)), "linked": F.coalesce("linked", F.lit(False))})
@@ -232,7 +269,7 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
     """conv_id, turn, place, message (canonical JSON), problems, valid: one row a message.
 
     ``place`` orders a conversation's messages from 0: a message follows those it
-    depends on, otherwise by turn. A message stays a row of its own, so a conversation
+    depends on, otherwise by turn (on and behind a cycle by turn only). A message stays a row of its own, so a conversation
     of any length is formatted by many tasks; places come from counts by blocks of
     turns. ``schemas``: a JSON schema for the arguments of each tool (none: unchecked).
 
