@@ -64,6 +64,28 @@ def test_long_chains_are_no_cycles(spark, monkeypatch, block):
     assert [r.valid for r in got if r.conv_id == 2] == [True] * 2 + [False] * 6
 
 
+def test_no_content_is_dropped(spark):
+    odd = [{"name": "no id", "arguments": {"x": 1.0}}, {"id": "n"}, "text", {"id": "e", "name": "f", "arguments": {}, "after": ["a", 5], "note": {"b": 1, "a": 2}}]
+    nested = {"id": "g", "type": "function", "index": 0, "function": {"name": "f", "arguments": "{}", "strict": True}}
+    rows = [
+        (1, 0, "assistant", json.dumps({"content": "c", "reasoning": "why", "name": "x", "role": "assistant", "tool_calls": odd})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "e", "content": "r", "is_error": True, "metadata": {"t": [1, 2.0]}, "name": "f"})),
+        (1, 2, "assistant", json.dumps({"tool_calls": [nested], "score": float("nan")})),
+        (1, 3, "tool", json.dumps({"tool_call_id": "g", "content": "", "role": "user"})),
+        (1, 4, "assistant", json.dumps({"content": None, "tool_calls": [{"id": "h", "name": "f", "function": {"name": "g"}}]})),
+        (1, 5, "assistant", json.dumps({"content": "d", "tool_calls": [], "refusal": None})),
+    ]
+    got = run(spark, rows)
+    messages = [json.loads(r.message) for r in got]
+    assert messages[0] == {"role": "assistant", "content": "c", "reasoning": "why", "name": "x", "tool_calls": odd}
+    assert got[0].problems == ["a call without an id or a name"]
+    assert messages[1] == {"role": "tool", "tool_call_id": "e", "content": "r", "is_error": True, "metadata": {"t": [1, 2]}, "name": "f"} and got[1].valid
+    assert messages[2] == {"role": "assistant", "content": None, "score": "nan", "tool_calls": [{"id": "g", "type": "function", "index": 0, "name": "f", "arguments": {}, "strict": True}]} and got[2].valid
+    assert messages[3]["role"] == "tool" and messages[3]["role_in_text"] == "user" and got[3].problems == ["another role in the text"]
+    assert messages[4]["tool_calls"] == [{"id": "h", "name": "f", "function": {"name": "g"}}] and "a call that gives a key twice" in got[4].problems
+    assert messages[5] == {"role": "assistant", "content": "d", "tool_calls": [], "refusal": None} and got[5].valid
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None), (3, 0, "tool", "garbage"), (3, 1, "assistant", "{not json"), (3, 2, "assistant", '{"tool_calls": 5}'), (3, 2, "assistant", '{"tool_calls": 5}'), (3, None, "user", ""), (3, 4, "user", "x" * 100_000), (3, 5, "assistant", call({"id": 1, "name": "f"}))]
     got = run(spark, rows)

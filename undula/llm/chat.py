@@ -9,7 +9,8 @@ Calls and results are hash-joined by (conversation, id). A call may name results
 needs ("after": [ids]); messages are ordered so that no result comes before its call
 and no call before what it needs, otherwise by turn. Arguments are validated against
 schemas, and every message becomes one line of canonical JSON: keys sorted, no blanks,
-equal values written alike.
+equal values written alike. Other keys of a message or a call are carried along as they
+are; a call without an id or a name is written as given and reported.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from undula.llm import scratch
 #: Turns of a conversation whose links one task follows in a round; no bound on chains, which go on in the next round.
 BLOCK = 4096
 
-_PARSED = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string,after:array<string>>>, result_of string, problem string"
+_PARSED = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string,after:array<string>,written:string>>, result_of string, problem string, rest string"
 
 
 def canonical(value: Any) -> str:
@@ -93,28 +94,32 @@ def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
-def _parse(role: str | None, text: str | None) -> tuple[str | None, list[dict], str | None, str | None]:
-    """(content, calls, id of the call this is the result of, problem)."""
+def _parse(role: str | None, text: str | None) -> tuple[str | None, list[dict], str | None, str | None, str | None]:
+    """(content, calls, id of the call this is the result of, problem, other keys as JSON)."""
     if role not in ("assistant", "tool") or not text or not text.lstrip().startswith("{"):
-        return text, [], None, "a result without an id" if role == "tool" else None
+        return text, [], None, "a result without an id" if role == "tool" else None, None
     try:
         value = json.loads(text)
     except (ValueError, RecursionError):
-        return text, [], None, "a result without an id" if role == "tool" else None
+        return text, [], None, "a result without an id" if role == "tool" else None, None
     if role == "tool":
         if not isinstance(value.get("tool_call_id"), str):
-            return text, [], None, "a result without an id"
+            return text, [], None, "a result without an id", None
         content = value.get("content")
-        return content if isinstance(content, str) else _safe(content), [], value["tool_call_id"], None
+        rest, problem = _rest(role, value, ("content", "tool_call_id"))
+        return content if isinstance(content, str) else _safe(content), [], value["tool_call_id"], problem, rest
     given = value.get("tool_calls")
     if not isinstance(given, list):
-        return text, [], None, None
-    calls, problem = [], None
-    for call in given:
+        return text, [], None, None, None
+    rest, problem = _rest(role, value, ("content", "tool_calls") if given else ("content",))
+    calls = []
+    for raw in given:
+        call = raw
         if isinstance(call, dict) and isinstance(call.get("function"), dict):  # the nested spelling
-            call = call | call["function"]
+            call = {k: v for k, v in call.items() if k != "function"} | call["function"]
         if not (isinstance(call, dict) and isinstance(call.get("id"), str) and isinstance(call.get("name"), str)):
             problem = "a call without an id or a name"
+            calls.append({"id": None, "name": None, "arguments": None, "after": [], "written": _plain(raw)})
             continue
         arguments = call.get("arguments", {})
         if isinstance(arguments, str):
@@ -123,9 +128,26 @@ def _parse(role: str | None, text: str | None) -> tuple[str | None, list[dict],
             except (ValueError, RecursionError):
                 problem = "arguments that aren't JSON"
         after = [x for x in call.get("after", []) if isinstance(x, str)] if isinstance(call.get("after", []), list) else []
-        calls.append({"id": call["id"], "name": call["name"], "arguments": _safe(arguments), "after": after})
+        written = call | {"arguments": json.loads(_safe(arguments))}
+        if call is not raw and any(k in raw and _plain(raw[k]) != _plain(v) for k, v in raw["function"].items()):
+            problem, written = "a call that gives a key twice", raw
+        calls.append({"id": call["id"], "name": call["name"], "arguments": _safe(arguments), "after": after, "written": _plain(written)})
     content = value.get("content")
-    return content if content is None or isinstance(content, str) else _safe(content), calls, None, problem
+    return content if content is None or isinstance(content, str) else _safe(content), calls, None, problem, rest
+
+
+def _rest(role: str, value: dict, known: tuple[str, ...]) -> tuple[str | None, str | None]:
+    """(the keys of a message that have no column, as JSON; problem)."""
+    rest = {k: v for k, v in value.items() if k not in known and (k, v) != ("role", role)}
+    if "role" not in rest:
+        return _plain(rest) if rest else None, None
+    rest["role_in_text"] = rest.pop("role")  # the row's own role holds
+    return _plain(rest), "another role in the text"
+
+
+def _plain(value: Any) -> str:
+    """Canonical JSON; of an object, values that JSON can't hold are written as text."""
+    return canonical({k: json.loads(_safe(v)) for k, v in value.items()}) if isinstance(value, dict) else _safe(value)
 
 
 def _safe(value: Any) -> str:
@@ -135,12 +157,12 @@ def _safe(value: Any) -> str:
         return json.dumps(str(value))
 
 
-_CALL = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("after", pa.list_(pa.string()))])
-_PARSED_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_CALL), pa.string(), pa.string()]
+_CALL = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("after", pa.list_(pa.string())), ("written", pa.string())])
+_PARSED_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_CALL), pa.string(), pa.string(), pa.string()]
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "turn", "role", "content", "calls", "result_of", "problem"]
+    names = ["conv_id", "turn", "role", "content", "calls", "result_of", "problem", "rest"]
     for batch in batches:
         rows = [(c, t, r, *_parse(r, x)) for c, t, r, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -153,12 +175,14 @@ def _write(schemas: dict[str, dict]):
             lines, problems = [], []
             for row in batch.to_pylist():
                 wrong = [row["problem"]] if row["problem"] else []
-                message: dict[str, Any] = {"role": row["role"], "content": row["content"]}
+                message: dict[str, Any] = (json.loads(row["rest"]) if row["rest"] else {}) | {"role": row["role"], "content": row["content"]}
                 if row["calls"]:
                     message["tool_calls"] = []
                     for call in row["calls"]:
+                        message["tool_calls"].append(json.loads(call["written"]))
+                        if call["id"] is None:
+                            continue
                         arguments = json.loads(call["arguments"])
-                        message["tool_calls"].append({"id": call["id"], "name": call["name"], "arguments": arguments})
                         if call["name"] in schemas:
                             wrong += [f"{call['id']}: {x}" for x in violations(arguments, schemas[call["name"]])]
                         elif schemas:
@@ -224,7 +248,7 @@ def link(conversations: DataFrame) -> DataFrame:
     """
     parsed = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(_parse_batches, _PARSED)
     parsed = scratch.table(parsed.withColumn("row", F.monotonically_increasing_id()), "messages")
-    calls = parsed.where("size(calls) > 0").select("row", "conv_id", "turn", F.explode("calls").alias("call")).select("row", "conv_id", "turn", F.col("call.id").alias("id"), F.col("call.after").alias("after"))
+    calls = parsed.where("size(calls) > 0").select("row", "conv_id", "turn", F.explode("calls").alias("call")).where("call.id is not null").select("row", "conv_id", "turn", F.col("call.id").alias("id"), F.col("call.after").alias("after"))
     if calls.isEmpty():
         calls_state = parsed.where("false").select("row")
         unanswered = repeated = calls_state.withColumn("ids", F.lit(None).cast("array<string>"))
