@@ -86,6 +86,30 @@ def test_no_content_is_dropped(spark):
     assert messages[5] == {"role": "assistant", "content": "d", "tool_calls": [], "refusal": None} and got[5].valid
 
 
+def test_the_query_validates_against_declared_tools(spark, tmp_path):
+    from undula.llm import queries
+
+    def tools(*given):
+        return json.dumps({"content": "be helpful", "tools": list(given)})
+
+    f = {"type": "object", "properties": {"x": {"type": "number"}}, "required": ["x"]}
+    rows = [
+        (1, 0, "system", tools({"type": "function", "function": {"name": "f", "parameters": {"type": "string"}}}, {"name": "bad", "parameters": {"type": 5}})),
+        (1, 1, "developer", tools({"name": "f", "parameters": f})),  # the last one counts
+        (2, 0, "user", tools({"name": "f", "parameters": f})),  # users declare nothing
+    ]
+    given = [("f", {"x": 1}), ("f", {}), ("f", {"x": "1"}), ("g", {"x": 1}), ("bad", 1)]
+    for i, (name, arguments) in enumerate(given):
+        for conv in (1, 2):
+            rows += [(conv, 10 + 2 * i, "assistant", call({"id": str(i), "name": name, "arguments": arguments})), (conv, 11 + 2 * i, "tool", result(str(i), ""))]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn): r.valid for r in queries.op10_chat(spark, str(tmp_path)).collect()}
+    assert [got[1, 10 + 2 * i] for i in range(5)] == [True, False, False, False, False]
+    assert all(valid for (conv, turn), valid in got.items() if conv == 2 or turn < 2 or turn % 2)
+    problems = {r.turn: r.problems for r in run(spark, rows, {"g": {"required": ["y"]}}) if r.conv_id == 1}
+    assert problems[12] == ["1: $.x: missing"] and problems[14] == ["2: $.x: not of type number"] and problems[16] == ["3: $.y: missing"] and problems[18] == ["4: a schema that can't be read"]
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, None), (3, 0, "tool", "garbage"), (3, 1, "assistant", "{not json"), (3, 2, "assistant", '{"tool_calls": 5}'), (3, 2, "assistant", '{"tool_calls": 5}'), (3, None, "user", ""), (3, 4, "user", "x" * 100_000), (3, 5, "assistant", call({"id": 1, "name": "f"}))]
     got = run(spark, rows)

@@ -5,6 +5,10 @@ Assistant messages may carry calls, tool messages results, as JSON objects in th
     {"content": ..., "tool_calls": [{"id": ..., "name": ..., "arguments": {...}}]}
     {"tool_call_id": ..., "content": ...}
 
+System and developer messages may declare the tools of their conversation:
+
+    {"tools": [{"name": ..., "parameters": {JSON schema}}]}
+
 Calls and results are hash-joined by (conversation, id). A call may name results it
 needs ("after": [ids]); messages are ordered so that no result comes before its call
 and no call before what it needs, otherwise by turn. Arguments are validated against
@@ -29,7 +33,7 @@ from undula.llm import scratch
 #: Turns of a conversation whose links one task follows in a round; no bound on chains, which go on in the next round.
 BLOCK = 4096
 
-_PARSED = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string,after:array<string>,written:string>>, result_of string, problem string, rest string"
+_PARSED = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string,after:array<string>,written:string>>, result_of string, problem string, rest string, tools array<struct<name:string,parameters:string>>"
 
 
 def canonical(value: Any) -> str:
@@ -136,6 +140,23 @@ def _parse(role: str | None, text: str | None) -> tuple[str | None, list[dict],
     return content if content is None or isinstance(content, str) else _safe(content), calls, None, problem, rest
 
 
+def _tools(role: str | None, text: str | None) -> list[dict]:
+    """The tools that a message declares: names, and schemas of their arguments as JSON."""
+    if role not in ("system", "developer") or not text or not text.lstrip().startswith("{"):
+        return []
+    try:
+        given = json.loads(text).get("tools")
+    except (ValueError, RecursionError):
+        return []
+    found = []
+    for tool in given if isinstance(given, list) else []:
+        if isinstance(tool, dict) and isinstance(tool.get("function"), dict):  # the nested spelling
+            tool = tool | tool["function"]
+        if isinstance(tool, dict) and isinstance(tool.get("name"), str):
+            found.append({"name": tool["name"], "parameters": _safe(tool.get("parameters", tool.get("input_schema", {})))})
+    return found
+
+
 def _rest(role: str, value: dict, known: tuple[str, ...]) -> tuple[str | None, str | None]:
     """(the keys of a message that have no column, as JSON; problem)."""
     rest = {k: v for k, v in value.items() if k not in known and (k, v) != ("role", role)}
@@ -158,17 +179,25 @@ def _safe(value: Any) -> str:
 
 
 _CALL = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("after", pa.list_(pa.string())), ("written", pa.string())])
-_PARSED_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_CALL), pa.string(), pa.string(), pa.string()]
+_TOOL = pa.struct([("name", pa.string()), ("parameters", pa.string())])
+_PARSED_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_CALL), pa.string(), pa.string(), pa.string(), pa.list_(_TOOL)]
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "turn", "role", "content", "calls", "result_of", "problem", "rest"]
+    names = ["conv_id", "turn", "role", "content", "calls", "result_of", "problem", "rest", "tools"]
     for batch in batches:
-        rows = [(c, t, r, *_parse(r, x)) for c, t, r, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
+        rows = [(c, t, r, *_parse(r, x), _tools(r, x)) for c, t, r, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, _PARSED_KINDS, strict=True)], names=names)
 
 
+def _unmet(arguments: Any, schema: Any) -> list[str]:
+    try:
+        return violations(arguments, schema)
+    except (AttributeError, TypeError, ValueError, OverflowError, RecursionError):  # schemas come with the data
+        return ["a schema that can't be read"]
+
+
 def _write(schemas: dict[str, dict]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,6 +205,7 @@ def _write(schemas: dict[str, dict]):
             for row in batch.to_pylist():
                 wrong = [row["problem"]] if row["problem"] else []
                 message: dict[str, Any] = (json.loads(row["rest"]) if row["rest"] else {}) | {"role": row["role"], "content": row["content"]}
+                declared = {t["name"]: json.loads(t["parameters"]) for t in row["declared"] or []}
                 if row["calls"]:
                     message["tool_calls"] = []
                     for call in row["calls"]:
@@ -183,9 +213,11 @@ def _write(schemas: dict[str, dict]):
                         if call["id"] is None:
                             continue
                         arguments = json.loads(call["arguments"])
-                        if call["name"] in schemas:
+                        if call["name"] in declared:
+                            wrong += [f"{call['id']}: {x}" for x in _unmet(arguments, declared[call["name"]])]
+                        elif call["name"] in schemas:
                             wrong += [f"{call['id']}: {x}" for x in violations(arguments, schemas[call["name"]])]
-                        elif schemas:
+                        elif schemas or row["declares"]:
                             wrong.append(f"{call['id']}: no schema for {call['name']}")
                 if row["result_of"] is not None:
                     message["tool_call_id"] = row["result_of"]
@@ -237,6 +269,16 @@ def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LINK = pa.schema([("before", pa.int64()), ("next", pa.int64()), ("conv_id", pa.int64()), ("turn", pa.int64()), ("sort", pa.int64()), ("depth", pa.int32())])
 
 
+def _declared(parsed: DataFrame, calls: DataFrame) -> DataFrame:
+    """(row, declared, declares): the schemas of each message's calls, and if its conversation declares any tool."""
+    tools = parsed.where("size(tools) > 0").select("row", "conv_id", "turn", F.posexplode("tools").alias("at", "tool"))
+    tools = tools.groupBy("conv_id", F.col("tool.name").alias("name")).agg(F.max_by("tool.parameters", F.struct(F.coalesce("turn", F.lit(-1)), "row", "at")).alias("parameters"))
+    tools = scratch.table(tools, "tools")
+    own = calls.select("row", "conv_id", "name").distinct().join(tools, ["conv_id", "name"], "left")
+    own = own.join(tools.select("conv_id", F.lit(True).alias("declares")).distinct(), "conv_id")
+    return own.groupBy("row").agg(F.collect_list(F.when(F.col("parameters").isNotNull(), F.struct("name", "parameters"))).alias("declared"), F.max("declares").alias("declares"))
+
+
 def link(conversations: DataFrame) -> DataFrame:
     """Parsed messages with their links: linked, unanswered, repeated, cyclic, depth.
 
@@ -248,15 +290,17 @@ def link(conversations: DataFrame) -> DataFrame:
     """
     parsed = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(_parse_batches, _PARSED)
     parsed = scratch.table(parsed.withColumn("row", F.monotonically_increasing_id()), "messages")
-    calls = parsed.where("size(calls) > 0").select("row", "conv_id", "turn", F.explode("calls").alias("call")).where("call.id is not null").select("row", "conv_id", "turn", F.col("call.id").alias("id"), F.col("call.after").alias("after"))
+    calls = parsed.where("size(calls) > 0").select("row", "conv_id", "turn", F.explode("calls").alias("call")).where("call.id is not null").select("row", "conv_id", "turn", F.col("call.id").alias("id"), F.col("call.after").alias("after"), F.col("call.name").alias("name"))
     if calls.isEmpty():
         calls_state = parsed.where("false").select("row")
         unanswered = repeated = calls_state.withColumn("ids", F.lit(None).cast("array<string>"))
         moved = calls_state.withColumn("sort", F.lit(0).cast("long")).withColumn("depth", F.lit(0)).withColumn("cyclic", F.lit(False))
         linked = calls_state
+        declared = calls_state.withColumns({"declared": F.lit(None).cast("array<struct<name:string,parameters:string>>"), "declares": F.lit(None).cast("boolean")})
     else:
         calls = scratch.table(calls, "calls")
         results = parsed.where("result_of is not null").select("row", "conv_id", "turn", F.col("result_of").alias("id"))
+        declared = _declared(parsed, calls)
         own = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
         key = ["conv_id", "id"]
         repeated = calls.join(own.where("n > 1"), key).where(F.col("row") != F.col("first.row")).groupBy("row").agg(F.collect_set("id").alias("ids"))
@@ -285,7 +329,7 @@ def link(conversations: DataFrame) -> DataFrame:
         stuck = followers.join(known, "row", "left_anti").join(turns, "row").withColumn("depth", F.lit(0))
         moved = known.withColumn("cyclic", F.lit(False)).unionByName(stuck.withColumn("cyclic", F.lit(True)))
     out = parsed.join(moved, "row", "left").join(linked.distinct().withColumn("linked", F.lit(True)), "row", "left")
-    out = out.join(unanswered.withColumnRenamed("ids", "unanswered"), "row", "left").join(repeated.withColumnRenamed("ids", "repeated"), "row", "left")
+    out = out.join(unanswered.withColumnRenamed("ids", "unanswered"), "row", "left").join(repeated.withColumnRenamed("ids", "repeated"), "row", "left").join(declared, "row", "left")
     return out.withColumns({"sort": F.coalesce("sort", "turn", F.lit(-1)), "depth": F.coalesce("depth", F.lit(0)), "cyclic": F.coalesce("cyclic", F.lit(False)), "linked": F.coalesce("linked", F.lit(False))})
 
 
@@ -295,7 +339,10 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
     ``place`` orders a conversation's messages from 0: a message follows those it
     depends on, otherwise by turn (on and behind a cycle by turn only). A message stays a row of its own, so a conversation
     of any length is formatted by many tasks; places come from counts by blocks of
-    turns. ``schemas``: a JSON schema for the arguments of each tool (none: unchecked).
+    turns. Arguments are held against the schema that the conversation declares for the
+    tool (the last one, if it declares several), else against ``schemas``: a JSON schema
+    for each tool. A call of any other tool is reported where there are schemas or
+    declarations, and unchecked where there are neither.
 
     A null role, text or turn is kept as null (null turns first); text that isn't the
     JSON above is content; an empty table gives no rows; rows that repeat a message
