@@ -99,6 +99,26 @@ def test_odd_rows(spark, corpus):
     assert jaccard.near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_row_of_each_component_stays_where_ids_repeat(corpus):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [
+        (1, near, 1),
+        (2, near + " end", 2),  # a near copy of 1
+        (2, "an unrelated clean text that shares its id", 3),
+        (3, "one two three four five six", 4),
+        (3, "ONE two three four five six", 5),  # near copies that share an id
+        (None, "red green blue black white grey", 6),
+        (None, "RED green blue black white grey", 7),  # near copies with null ids
+        (None, near, 8),
+        (None, "nobody else has this text here", 9),
+        (5, "one two three four five six", 10),
+        (6, None, 11),
+        (6, "", 12),
+    ]
+    kept = {r.n for r in jaccard.drop_near(corpus(rows, "doc_id long, text string, n int")).collect()}
+    assert kept == {1, 3, 5, 7, 9, 11, 12}  # of equal sets, the smallest text: capitals come first
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (7, 3)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -42,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from undula.llm import scratch
 from undula.llm.components import components
@@ -419,6 +420,21 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     return members, classes, labels
 
 
+def _components(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(members, named: class, component_id, kept_class): distinct texts of components with more than one row.
+
+    A component's first row has the smallest doc_id (null ones last) and, of its texts
+    with that doc_id, the smallest class.
+    """
+    members, classes, labels = links(docs, key, text)
+    classes = classes.select("class", F.col("first").alias("least"), "docs")
+    classes = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
+    classes = scratch.table(classes.select("class", "label", "least", "docs"), "labelled")  # a row a distinct text
+    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "class")).alias("x")
+    classes = classes.join(classes.groupBy("label").agg(first).select("label", F.col("x.least").alias("component_id"), F.col("x.class").alias("kept_class")), "label")
+    return members, scratch.table(classes.where("docs > 1 or class <> kept_class").select("class", "component_id", "kept_class"), "named")
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
@@ -428,20 +444,42 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     null doc_id takes part, but can't name a component. Rows that repeat a doc_id are
     texts of their own. An empty table gives no rows; other columns are ignored.
     """
-    members, classes, labels = links(docs, key, text)
-    classes = classes.select("class", F.col("first").alias("least"), "docs")
-    classes = classes.join(labels, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class"))
-    classes = scratch.table(classes.select("class", "label", "least", "docs"), "labelled")  # a row a distinct text
-    classes = classes.join(classes.groupBy("label").agg(F.min("least").alias("component_id")), "label")
-    named = scratch.table(classes.where("docs > 1 or least <> component_id").select(F.col("class").alias("__class"), "component_id"), "named")
+    members, named = _components(docs, key, text)
+    named = named.select(F.col("class").alias("__class"), "component_id")
     out = members.join(named, F.col("class") == F.col("__class"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1)  # the text as a string
+        for lo, hi in pieces(column):
+            classes = [_class(s) if len(s) else None for s in shingle_sets(column.slice(lo, hi - lo))]
+            own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(classes, pa.int64())], names=[*batch.schema.names[:-1], "__class"])
+
+
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.
+    """``docs`` with one row of each component: the one with the smallest doc_id, a null one last.
 
-    Rows are addressed by doc_id; rows with a null one stay.
+    Rows are addressed by doc_id. Where a doc_id is null or occurs twice, its rows are
+    told apart by the sets of their texts: one row of those with the component's first
+    doc_id and set stays, the one with the smallest text. Rows with empty sets stay.
     """
-    dropped = scratch.table(near_components(docs, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct(), "near")
-    return docs.join(scratch.small(dropped), F.col(key) == F.col("__id"), "left_anti")
+    members, named = _components(docs, key, text)
+    found = members.join(named.withColumnRenamed("class", "__class"), F.col("class") == F.col("__class"))
+    dropped = found.where("component_id is null or component_id <> doc_id").select(F.col("doc_id").alias("__id"))
+    unclear = members.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    unclear = scratch.table(unclear, "unclear")
+    if unclear.isEmpty():
+        return docs.join(scratch.small(scratch.table(dropped, "near")), F.col(key) == F.col("__id"), "left_anti")
+    same = F.col(key).eqNullSafe(F.col("__id"))
+    dropped = scratch.table(dropped.where("__id is not null").distinct().join(unclear, "__id", "left_anti"), "near")
+    clear = docs.join(scratch.small(unclear), same, "left_anti").join(scratch.small(dropped), F.col(key) == F.col("__id"), "left_anti")
+    rest = docs.join(scratch.small(unclear), same, "left_semi").withColumn("__class", F.col(text).cast("string"))
+    rest = scratch.table(rest.mapInArrow(_classed, StructType([*docs.schema.fields, StructField("__class", LongType())])), "unclear_rows")
+    grouped = rest.join(scratch.small(named.withColumnRenamed("class", "__class")), "__class", "left")
+    alone = grouped.where("kept_class is null").select(*docs.columns)
+    firsts = grouped.where((F.col("__class") == F.col("kept_class")) & F.col(key).eqNullSafe(F.col("component_id")))
+    firsts = firsts.groupBy("__class").agg(F.min_by(F.struct(*docs.columns), F.col(text).cast("string")).alias("__row")).select("__row.*")
+    return clear.unionByName(alone).unionByName(firsts)
