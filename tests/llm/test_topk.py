@@ -15,7 +15,8 @@ def brute(queries, rows, k):
 
 @pytest.mark.parametrize("kind", ["spread", "equal", "huge", "sparse"])
 def test_against_brute_force(spark, monkeypatch, kind):
-    monkeypatch.setattr(topk, "PART", 150)
+    monkeypatch.setattr(topk, "PART_VALUES", 1200)
+    monkeypatch.setattr(topk, "SEED", 20)
     monkeypatch.setattr(topk, "GROUP", 5)
     gen = np.random.RandomState(3)
     n, d = 600, 8
@@ -30,12 +31,28 @@ def test_processing_stops_early():
     gen = np.random.RandomState(0)
     centers = gen.normal(0, 60, (10, 32))
     data = (centers[gen.randint(0, 10, 3000)] + gen.normal(0, 8, (3000, 32))).astype(np.int64)
-    block = topk.Block(np.arange(3000), data)
-    q, v, _ = block.search(data[:20], np.arange(20), 5, np.full(20, -np.inf))
+    block = topk.Block(np.arange(3000), data, topk._kind(data, data))
+    assert topk._kind(data, data) is np.float32 and topk._kind(data * 10**3, data) is np.float64 and topk._kind(data * 10**8, data * 10**8) is np.int64
+    exact = data @ data[:20].T
+    least = np.sort(exact[:500], axis=0)[-5].astype(float)
+    q, v, score = block.search(data[:20], least)
     assert len(q) < 20 * 3000 / 4  # few members are possible, and the true ones are among them
+    assert (score == exact[v, q]).all()
     for i in range(20):
-        exact = np.delete(data @ data[i], i)
-        assert set(np.sort((data @ data[i])[v[q == i]])[-5:]) == set(np.sort(exact)[-5:])
+        assert set(np.sort(exact[:, i])[-5:]) <= set(exact[v[q == i], i])
+
+
+def test_repeated_ids_and_rows(spark):
+    """A query doesn't find its own row, but other rows with its id; a row that occurs twice is answered twice."""
+    rows = [(50, [2, 1]), (50, [2, 1]), (50, [3, 0]), (7, [1, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").withColumn("dims", F.lit(9)).withColumn("score", F.lit("x"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df.where("vec_id % 50 = 0"), df, 2).collect())
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), w_id) for j, (w_id, w) in enumerate(rows) if j != i)[:2]
+            want += [(q, r, w_id, -s) for r, (s, w_id) in enumerate(found, 1)]
+    assert got == sorted(want)
 
 
 def test_odd_rows(spark):

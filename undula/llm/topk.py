@@ -1,13 +1,15 @@
 """Exact top-k inner products over an impact-ordered, score-at-a-time index.
 
 Vectors are dealt into parts, and each part into blocks. A block's index holds its
-components as postings in order of their quantised impact (LEVELS steps of absolute
-value), in segments of one impact each. A segment is added to all accumulators at
-once, highest impact first. What is still to come for a vector is at most
-|query| x |unprocessed components|, which bounds its score from both sides; as soon as
-the k-th best lower bound leaves few enough upper bounds above it, processing stops,
-and the possible members are scored exactly. Nothing else stops it, so the result is
-exact whatever the data; on hostile data all segments are processed.
+non-zero components as postings: segments of one dimension and one quantised impact
+(LEVELS steps of absolute value), highest impact first. Segments are walked in that
+order; each adds its postings to the accumulators of its vectors, for all queries of a
+group at once. What is still to come for a vector is at most |query| x |unprocessed
+components|, which bounds its score from both sides: a vector whose upper bound is
+below a score that k others are known to reach is proven out. Walking stops when the
+vectors not proven out cost less to score exactly than the postings that are left, and
+they are scored exactly then. Only proofs exclude a vector, so the result is exact
+whatever the data; on hostile data all postings are walked.
 """
 
 from __future__ import annotations
@@ -17,66 +19,75 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = 16
+LEVELS = 24
 BLOCK = 4096
-#: Vectors a part, queries a group: the bounds of what one task holds.
-PART = 8192
-GROUP = 1024
-#: Stop once a query has so many possible members a block, on average.
-FEW = 24
+#: Components of a part's vectors, queries a group: the bounds of what one task holds.
+PART_VALUES = 1 << 19
+GROUP = 2048
+#: Queries whose accumulators are held at once.
+TILE = 128
+#: Vectors scored exactly before the walk, for a first score that k others reach.
+SEED = 512
+#: Bounds are looked at after so large a share of the postings, and after each further one.
+FIRST, STRIDE = 0.4, 0.1
+#: Cost of scoring a component of a possible member, in postings walked.
+RESCORE = 3
 
-_PART = "query_id long, query_key long, vec_id long, score long"
+_PART = "query_id long, query_key long, copies long, vec_id long, score long"
 
 
 class Block:
     """The index of some vectors of one dimension."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, kind: type):
         self.ids, self.vectors = ids, vectors
         size = np.abs(vectors)
         step = max(1, -(-int(size.max(initial=0) + 1) // LEVELS))
-        level = size // step
-        vec, dim = np.nonzero(level >= 0)
-        order = np.argsort(-level[vec, dim], kind="stable")  # postings by descending impact
-        self.vec, self.dim = vec[order], dim[order]
-        self.value = vectors[self.vec, self.dim]
-        impact = level[self.vec, self.dim]
-        self.segments = [(int(lo), int(hi)) for lo, hi in zip(*(lambda at: (at, np.append(at[1:], len(impact))))(np.flatnonzero(np.diff(impact, prepend=-1))), strict=True)]
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, vector, score) of all that can be among a query's k best.
-
-        ``own[q]``: the id that query q may not find; ``least[q]``: a score that k
-        others are known to reach.
-        """
-        n, exact = len(self.ids), queries.dtype
-        heavy = float(np.abs(queries).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * max(1, self.vectors.shape[1]) >= 2**52
-        kind = exact if heavy else np.float64  # whole numbers are exact in either
-        acc = np.zeros((len(queries), n), kind)
-        norm = np.sqrt((queries.astype(float) ** 2).sum(1))
-        left = (self.vectors.astype(float) ** 2).sum(1)
-        barred = own[:, None] == self.ids[None, :]
-        maybe = ~barred
-        for lo, hi in self.segments:
-            tile = np.zeros(self.vectors.shape, kind)
-            tile[self.vec[lo:hi], self.dim[lo:hi]] = self.value[lo:hi]
-            acc += queries.astype(kind) @ tile.T
-            left -= np.bincount(self.vec[lo:hi], self.value[lo:hi].astype(float) ** 2, n)
-            slack = norm[:, None] * np.sqrt(np.maximum(left, 0) * (1 + 1e-9) + 1e-6)[None, :] + 1e-6 * (1 + np.abs(acc)) * heavy
-            floor = least
-            if n > k:
-                low = np.where(barred, -np.inf, acc - slack)
-                floor = np.maximum(least, np.partition(low, n - k, axis=1)[:, n - k])
-            maybe = ~barred & (acc + slack >= floor[:, None])
-            if maybe.sum() <= FEW * len(queries):
-                break
-        q, v = np.nonzero(maybe)
-        score = np.empty(len(q), np.int64)
-        for at in range(0, len(q), 1 << 16):
-            part = slice(at, at + (1 << 16))
+        vec, dim = np.nonzero(vectors)
+        level = size[vec, dim] // step
+        order = np.lexsort((vec, dim, -level))  # segments by descending impact
+        self.vec, self.dim, level = vec[order], dim[order], level[order]
+        self.value = vectors[self.vec, self.dim].astype(kind)[:, None]
+        new = np.flatnonzero(np.diff(level, prepend=-1) | np.diff(self.dim, prepend=-1))
+        self.segments = list(zip(new.tolist(), np.append(new[1:], len(vec)).tolist(), self.dim[new].tolist(), strict=True))
+        # length of what is unprocessed of each vector, after the last segment of each level
+        left, walked = (vectors.astype(float) ** 2).sum(1), 0
+        self.left: dict[int, np.ndarray] = {}
+        for place in np.flatnonzero(np.diff(level[new], append=-1)).tolist():
+            hi = self.segments[place][1]
+            left = left - np.bincount(self.vec[walked:hi], self.value[walked:hi, 0].astype(float) ** 2, len(ids))
+            self.left[place], walked = np.sqrt(np.maximum(left, 0) * (1 + 1e-9) + 1e-6), hi
+
+    def search(self, queries: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, score) of all that can be among a query's best; ``least[q]``: a score that enough others are known to reach."""
+        found = [self._walk(queries[at : at + TILE], least[at : at + TILE]) for at in range(0, len(queries), TILE)]
+        q = np.concatenate([q + i * TILE for i, (q, _) in enumerate(found)])
+        v = np.concatenate([v for _, v in found])
+        score, step = np.empty(len(q), np.int64), max(1, (1 << 22) // max(1, queries.shape[1]))
+        for at in range(0, len(q), step):
+            part = slice(at, at + step)
             score[part] = (queries[q[part]] * self.vectors[v[part]]).sum(1)
         return q, v, score
 
+    def _walk(self, queries: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) pairs that aren't proven out."""
+        n, kind, total = len(self.ids), self.value.dtype.type, len(self.vec)
+        columns = np.ascontiguousarray(queries.T.astype(kind))
+        acc = np.zeros((n, len(queries)), kind)  # whole numbers, exact in `kind`
+        wide = np.float64 if kind is np.int64 else kind
+        norm = (np.sqrt((queries.astype(float) ** 2).sum(1)) * (1 + 1e-5)).astype(wide)
+        floor = np.nextafter(least.astype(wide), wide(-np.inf)) - wide(1e-3)
+        maybe, look = np.ones((n, len(queries)), bool), FIRST * total
+        for place, (lo, hi, dim) in enumerate(self.segments):
+            acc[self.vec[lo:hi]] += self.value[lo:hi] * columns[dim]
+            if place in self.left and (hi >= look or hi == total):
+                look = hi + STRIDE * total
+                maybe = acc + self.left[place].astype(wide)[:, None] * norm >= floor
+                if maybe.sum() * self.vectors.shape[1] * RESCORE <= (total - hi) * len(queries):
+                    break
+        v, q = np.nonzero(maybe)
+        return q, v
+
 
 def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k best: by score, then smaller id."""
@@ -91,9 +102,26 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return flat.astype(np.int64).reshape(len(column), dims)
 
 
+def _own_rows(wanted: np.ndarray, own: np.ndarray, ids: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Place of one row with each query's id and vector among rows sorted by id (-1: in another part)."""
+    lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+    out = np.full(len(own), -1)
+    for q in np.flatnonzero(hi > lo):
+        same = np.flatnonzero((data[lo[q] : hi[q]] == wanted[q]).all(1))
+        if len(same):
+            out[q] = lo[q] + same[0]
+    return out
+
+
+def _kind(queries: np.ndarray, vectors: np.ndarray) -> type:
+    """The narrowest type in which every partial sum is a whole number."""
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
+    return np.float32 if most < 2**24 else np.float64 if most < 2**52 else np.int64
+
+
 def _search(k: int):
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        empty = pa.table({x: pa.array([], pa.int64()) for x in ("query_id", "query_key", "vec_id", "score")})
+        empty = pa.table({x: pa.array([], pa.int64()) for x in ("query_id", "query_key", "copies", "vec_id", "score")})
         if not queries.num_rows or not vectors.num_rows:
             return empty
         dims = vectors["dims"][0].as_py()
@@ -101,18 +129,24 @@ def _search(k: int):
         ids = vectors["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, data = ids[order], _matrix(vectors["v"], dims)[order]
+        mine, kind = _own_rows(wanted, own, ids, data), _kind(wanted, data)
         held = [np.zeros(0, np.int64)] * 3
         least = np.full(len(own), -np.inf)
+        if min(SEED, len(ids)) > k:  # one may be the query's own row
+            for at in range(0, len(own), TILE):
+                seed = wanted[at : at + TILE].astype(np.float64 if kind is np.float32 else kind) @ data[:SEED].T
+                least[at : at + TILE] = np.partition(seed, -k - 1, axis=1)[:, -k - 1]
         for lo in range(0, len(ids), BLOCK):
-            block = Block(ids[lo : lo + BLOCK], data[lo : lo + BLOCK])
-            q, v, score = block.search(wanted, own, k, least)
-            held = [np.concatenate(x) for x in zip(held, (q, block.ids[v], score), strict=True)]
+            block = Block(ids[lo : lo + BLOCK], data[lo : lo + BLOCK], kind)
+            q, v, score = block.search(wanted, least)
+            keep = mine[q] != v + lo
+            held = [np.concatenate(x) for x in zip(held, (q[keep], block.ids[v[keep]], score[keep]), strict=True)]
             top = _best(*held, k)
             held = [x[top] for x in held]
             q, first, n = np.unique(held[0], return_index=True, return_counts=True)
             full = n == k
-            least[q[full]] = held[2][first[full] + k - 1]
-        return pa.table({"query_id": own[held[0]], "query_key": queries["key"].to_numpy()[held[0]], "vec_id": held[1], "score": held[2]})
+            least[q[full]] = np.maximum(least[q[full]], held[2][first[full] + k - 1])
+        return pa.table({"query_id": own[held[0]], "query_key": queries["key"].to_numpy()[held[0]], "copies": queries["copies"].to_numpy()[held[0]], "vec_id": held[1], "score": held[2]})
 
     return run
 
@@ -128,23 +162,29 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, key: str = "vec_id
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products.
 
     Both tables hold whole-number vectors (array<bigint>) with an id. Ties go to the
-    smaller id. A query finds every row but those of its own id; fewer than k rows
-    give fewer results. Rows with a null id or vector take no part; vectors of another
-    dimension than the query's aren't its candidates. A repeated query row counts
-    once; repeated vectors each count. Columns besides the two are ignored.
+    smaller id. A query finds every row but its own: one row with its id and vector is
+    left out. Other rows with its id are found like any others, and a query row that
+    occurs n times is answered n times. Fewer than k rows give fewer results. Rows
+    with a null id or vector take no part; vectors of another dimension than the
+    query's aren't its candidates. Columns besides the two are ignored; an empty table
+    gives no rows.
     """
 
     def rows(df: DataFrame) -> DataFrame:
         df = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"))
         return df.where("vec_id is not null and v is not null").withColumn("dims", F.size("v"))
 
-    queries, vectors = rows(queries).dropDuplicates(["vec_id", "v"]), rows(vectors)
-    parts, groups = max(1, -(-vectors.count() // PART)), max(1, -(-queries.count() // GROUP))
-    part, group = F.pmod(F.xxhash64("vec_id"), F.lit(parts)), F.pmod(F.xxhash64("vec_id"), F.lit(groups))
+    queries, vectors = rows(queries).groupBy("vec_id", "v", "dims").agg(F.count(F.lit(1)).alias("copies")), rows(vectors)
+    held = vectors.agg(F.count(F.lit(1)).alias("n"), F.max("dims").alias("dims")).first()
+    parts = max(1, -(-held.n * max(1, held.dims or 0) // PART_VALUES))
+    groups = max(1, -(-queries.count() // GROUP))
+    # repeated ids are spread by their vectors
+    part, group = F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)), F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups))
     # every part meets every group: a task holds one of each, whatever the sizes
-    left = queries.withColumn("key", F.xxhash64("v")).withColumn("g", group).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    left = queries.withColumn("key", F.xxhash64("vec_id", "v")).withColumn("g", group).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = vectors.withColumn("p", part).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     cell = [F.col("p").cast("long"), F.col("g").cast("long"), F.col("dims")]
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_search(k), _PART)
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", "score")
