@@ -1,3 +1,5 @@
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
 from undula.llm import jaccard
@@ -53,7 +55,9 @@ def test_near_copies_of_all_sizes(corpus, rng):
     check(corpus(rows), rows)
 
 
-def test_common_passage_large_group_and_chain(corpus, rng):
+@pytest.mark.parametrize("cell", [512, 16])
+def test_common_passage_large_group_and_chain(corpus, rng, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "CELL", cell)
     vocabulary = [f"w{i}" for i in range(300)]
     passage, base, texts = [rng.choice(vocabulary) for _ in range(60)], [rng.choice(vocabulary) for _ in range(100)], []
     for _ in range(150):
@@ -119,6 +123,38 @@ def test_one_row_of_each_component_stays_where_ids_repeat(corpus):
     assert kept == {1, 3, 5, 7, 9, 11, 12}  # of equal sets, the smallest text: capitals come first
 
 
+def test_unlike_words_and_sets(corpus):
+    """Words that a polynomial modulo 2^64 can't tell apart; documents that share no word."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, " ".join([word] * 6)), (4, " ".join([other] * 6)), (5, word.upper())]
+    check(corpus(rows), rows)
+
+
+def test_clashing_columns_and_repeated_rows(corpus):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, near, "x", 1), (2, near + " end", "y", 2), (3, "quite another text", "z", 3), (3, "quite another text", "z", 4), (None, near, None, 5)]
+    docs = corpus(rows, "doc_id long, text string, __id string, __class long").withColumns({c: F.lit(7) for c in ("__row", "__kept_class", "__component", "class", "component_id", "label", "sig", "n")})
+    kept = jaccard.drop_near(docs)
+    assert kept.columns == docs.columns and sorted(r["__class"] for r in kept.collect())[:1] == [1] and kept.count() == 2
+    clear = docs.where("doc_id < 3")
+    assert [r["__id"] for r in jaccard.drop_near(clear).collect()] == ["x"]
+    got = jaccard.near_components(docs).collect()
+    assert sorted((r.component_id for r in got), key=str) == [1, 1, 1, 3, 3]
+
+
+def test_a_doc_id_that_many_texts_share(corpus, rng):
+    """Copies among texts of one id, and among texts without any, are found."""
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(90)]
+    rows = [(key, " ".join(edited(rng, base, vocabulary, 1))) for key in (7, None) for _ in range(40)] + [(8, " ".join(base))] * 3
+    got = jaccard.near_components(corpus(rows)).collect()
+    assert len(got) == 83 and {r.component_id for r in got} == {7}
+    assert jaccard.drop_near(corpus(rows, name="dropped")).count() == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (7, 3)]
     labels = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

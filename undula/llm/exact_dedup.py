@@ -144,20 +144,22 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", fan_in: int = FAN_IN, ke
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay.
+    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay, whatever their names.
 
     Rows are addressed by doc_id. Where a doc_id is null or occurs twice, its rows
-    are told apart by their text as well.
+    are told apart by their text as well: of rows that share both, one stays. Null and
+    empty texts are copies of one another; an empty table stays empty.
     """
+    own_id, own_sha, kept_sha = scratch.fresh(docs, "__id", "__sha", "__kept")
     found = scratch.table(exact_dedup(docs, keep, key=key, text=text), "copies")
     unclear = found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
-    dropped = found.where("not kept").select(F.col("doc_id").alias("__id"))
+    dropped = found.where("not kept").select(F.col("doc_id").alias(own_id))
     if unclear.isEmpty():
-        return docs.join(scratch.small(dropped), F.col(key) == F.col("__id"), "left_anti")
-    unclear = scratch.table(unclear, "unclear").select(F.col("doc_id").alias("__id"))
-    same = F.col(key).eqNullSafe(F.col("__id"))
-    clear = docs.join(unclear, same, "left_anti").join(dropped.join(unclear, "__id", "left_anti"), F.col(key) == F.col("__id"), "left_anti")
+        return docs.join(scratch.small(dropped), F.col(key) == F.col(own_id), "left_anti")
+    unclear = scratch.table(unclear, "unclear").select(F.col("doc_id").alias(own_id))
+    same = F.col(key).eqNullSafe(F.col(own_id))
+    clear = docs.join(scratch.small(unclear), same, "left_anti").join(scratch.small(dropped.join(unclear, own_id, "left_anti")), F.col(key) == F.col(own_id), "left_anti")
     low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rest = docs.join(unclear, same, "left_semi").withColumn("__sha", F.sha2(low, 256)).dropDuplicates([key, "__sha"])
-    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
-    return clear.unionByName(rest.join(kept, same & (F.col("__sha") == F.col("__kept")), "left_semi").drop("__sha"))
+    rest = docs.join(scratch.small(unclear), same, "left_semi").withColumn(own_sha, F.sha2(low, 256)).dropDuplicates([key, own_sha])
+    kept = found.where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(kept_sha))
+    return clear.unionByName(rest.join(kept, same & (F.col(own_sha) == F.col(kept_sha)), "left_semi").drop(own_sha))

@@ -27,8 +27,10 @@ done. Of the others, a set may
 In what is left, sets of different components meet: each first with the one nearest
 by a parity sketch, and after those are verified with all that are still apart. The
 sketch's distance never exceeds the sets' difference, so it only leaves out pairs that
-can't be linked. No group is dropped or capped, so no link is lost. Verification
-compares the whole sets.
+can't be linked. A large group's rows are dealt into blocks, and every two blocks meet
+in a task of their own. No group is dropped or capped, so no link is lost. Verification
+compares the whole sets of 64-bit shingle hashes: two different shingles, or two
+different sets, count as equal with a chance of 2^-64 a pair.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ from undula.llm.kernels import bucket_of, buffer_of, mix, pack, pack_small, piec
 SHINGLE = 5
 #: Groups of up to so many sets are paired at once.
 SMALL = 8
+#: Rows of a large group that are compared with as many others in one cell, about.
+CELL = 512
 #: Signatures a task holds before it passes them on.
 HELD = 1_500_000
 
@@ -301,6 +305,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.binary())], names=["class", "items"])
 
 
+@releasing
+def _all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in pieces(batch.column(0)):
+            sets = [(_class(s), s.tobytes()) for s in shingle_sets(batch.column(0).slice(lo, hi - lo)) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.binary())], names=["class", "items"])
+
+
+def _wanted_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, items) of the wanted classes (class, first), read from a row whose doc_id is ``first``.
+
+    A doc_id that several wanted classes share, or null, says too little: its rows are
+    told apart by the class of their text.
+    """
+    shared = wanted.groupBy("first").count().where("count > 1 or first is null").select("first")
+    shared = scratch.table(shared, "shared_ids")
+    clear = wanted.join(scratch.small(shared), "first", "left_anti").where("first is not null")
+    chosen = texts.join(scratch.small(clear), F.col("doc_id") == F.col("first")).select("class", "text")
+    sets = chosen.mapInArrow(_sets, "class long, items binary")
+    if not shared.isEmpty():
+        rest = texts.join(scratch.small(shared), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+        sets = sets.unionByName(rest.select("text").mapInArrow(_all_sets, "class long, items binary").join(scratch.small(wanted.select("class")), "class", "left_semi"))
+    sets = scratch.table(sets, "sets")
+    if not sets.groupBy("class").count().where("count > 1").isEmpty():  # rows that repeat an id and its text
+        sets = scratch.table(sets.groupBy("class").agg(F.first("items").alias("items")), "sets")
+    return sets
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
@@ -321,40 +353,66 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return scratch.table(rows.mapInArrow(_verify, "a long, b long"), "verified")
 
 
+def _cells(held: DataFrame) -> DataFrame:
+    """Rows of large groups dealt into cells (sig, i, j), so that every two rows of a group meet in one.
+
+    A group's rows fall into blocks of about CELL by hash; a cell holds two of them (or
+    one, where i = j). However large a group is, no task holds more than its cells.
+    """
+    blocks = F.ceil(F.col("size") / CELL).cast("int")
+    rows = held.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "label", "role", "n", "sketch")
+    return rows.repartition("sig", "i", "j")
+
+
 def _across(nearest: bool):
-    """Pairs of different components in each group that can be linked: all of them, or each set's nearest."""
+    """Pairs of different components in each cell that can be linked: all of them, or each set's nearest."""
+
+    def fitting(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(whether they can be linked, distance of the sketches) of each row of a and each of b."""
+        apart = np.zeros((len(a["class"]), len(b["class"])), np.int64)
+        for k in range(SKETCH // 64):
+            apart += np.bitwise_count(a["bits"][:, None, k] ^ b["bits"][None, :, k])
+        x, y = a["n"][:, None], b["n"][None, :]
+        fit = ((a["role"][:, None] & b["role"][None, :] & 1) == 0) & _close(x, y) & (9 * apart <= x + y) & (a["label"][:, None] != b["label"][None, :])
+        return fit, apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
-        sig, node, label, role, size = (table[x].to_numpy() for x in ("sig", "class", "label", "role", "n"))
-        order = np.lexsort((node, label, sig))
-        sig, node, label, role, size = sig[order], node[order], label[order], role[order], size[order]
-        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(sig), SKETCH // 64)[order]
-        lo, hi = np.searchsorted(sig, sig, "left"), np.searchsorted(sig, sig, "right")
-        starts = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (label[1:] != label[:-1]))))
-        other = np.append(starts, len(sig))[np.searchsorted(starts, np.arange(len(sig)), "right")]  # first row of the next component
-        held: list[np.ndarray] = []
-        for i in range(len(sig)):
-            best = SKETCH + 1
-            for at in range(int(lo[i] if nearest else other[i]), int(hi[i]), 1 << 16):
-                part = slice(at, min(int(hi[i]), at + (1 << 16)))
-                apart = np.bitwise_count(bits[part] ^ bits[i]).sum(1)
-                fit = ((role[part] & role[i] & 1) == 0) & _close(size[part], size[i]) & (9 * apart.astype(np.int64) <= size[part] + size[i]) & (label[part] != label[i])
-                rest = node[part][fit]
-                if nearest and len(rest):
-                    k = int(apart[fit].argmin())
-                    best, rest = (int(apart[fit][k]), rest[k : k + 1]) if apart[fit][k] < best else (best, rest[:0])
-                    if len(rest) and at > lo[i] and held:
-                        held.pop()
-                if len(rest):
-                    held.append(np.stack([np.minimum(rest, node[i]), np.maximum(rest, node[i])], 1))
-            if len(held) > 1 << 12 or sum(map(len, held[-4:])) > 1 << 16 or i == len(sig) - 1:
-                if held:
-                    rows = np.unique(np.concatenate(held), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], names=["a", "b"])
-                held = []
+        names = ("class", "label", "role", "n", "own")
+        rows = {x: table[x].to_numpy() for x in ("sig", "i", "j", *names)}
+        rows["bits"] = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+        order = np.lexsort((rows["class"], rows["own"], rows["j"], rows["i"], rows["sig"]))
+        rows = {x: v[order] for x, v in rows.items()}
+        new = np.flatnonzero(np.any([np.diff(rows[x], prepend=rows[x][0] - 1) != 0 for x in ("sig", "i", "j")], 0) | (np.arange(len(order)) == 0))
+        for lo, hi in zip(new, np.append(new[1:], len(order)), strict=True):
+            middle = hi if rows["i"][lo] == rows["j"][lo] else lo + int(np.searchsorted(rows["own"][lo:hi], rows["j"][lo]))
+            b = {x: rows[x][lo if middle == hi else middle : hi] for x in (*names, "bits")}
+            held: list[np.ndarray] = []
+            least, best = np.full(len(b["class"]), SKETCH + 1), np.zeros(len(b["class"]), np.int64)  # nearest of the first side to each of the second
+            for at in range(lo, middle, 256):
+                a = {x: rows[x][at : min(at + 256, middle)] for x in (*names, "bits")}
+                if not len(b["class"]):
+                    break
+                fit, apart = fitting(a, b)
+                if nearest:
+                    apart = np.where(fit, apart, SKETCH + 1)
+                    u = np.flatnonzero(fit.any(1))
+                    held.append(np.stack([a["class"][u], b["class"][apart[u].argmin(1)]], 1))
+                    own, near = apart.min(0), apart.argmin(0)
+                    best = np.where(own < least, a["class"][near], best)
+                    least = np.minimum(least, own)
+                else:
+                    u, v = np.nonzero(fit)
+                    held.append(np.stack([a["class"][u], b["class"][v]], 1))
+            if nearest:
+                found = least <= SKETCH
+                held.append(np.stack([best[found], b["class"][found]], 1))
+            if held and len(pairs := np.unique(np.sort(np.concatenate(held), 1), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     return run
 
@@ -400,8 +458,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     large = scratch.table(large.join(bound, ["class", "role"]), "bound")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(bound.select("class")).distinct()
     wanted = scratch.table(nodes.join(classes.select("class", "first"), "class"), "wanted")
-    chosen = texts.join(scratch.small(wanted), F.col("doc_id").eqNullSafe(F.col("first"))).select("class", "text")
-    sets = scratch.table(chosen.mapInArrow(_sets, "class long, items binary"), "sets")
+    sets = _wanted_sets(texts, wanted)
     # each set with the partner it shares most signatures with
     best = pairs.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("x")).select("x.a", "b")
     best = scratch.table(best, "best")
@@ -412,7 +469,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
         rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
         rest = _labelled(_labelled(rest, "a", "la", labels), "b", "lb", labels).where("la <> lb").select("a", "b")
         held = _mixed(large, labels).join(sketches, "class")
-        across = held.repartition("sig").mapInArrow(_across(nearest), "a long, b long")
+        across = _cells(held).mapInArrow(_across(nearest), "a long, b long")
         more = _linked(scratch.table((across if nearest else across.unionByName(rest)).distinct(), "rest"), sets)
         if not more.isEmpty():
             sure = scratch.table(sure.unionByName(more), "sure")
@@ -450,13 +507,16 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        column = batch.column(batch.num_columns - 1)  # the text as a string
-        for lo, hi in pieces(column):
-            classes = [_class(s) if len(s) else None for s in shingle_sets(column.slice(lo, hi - lo))]
-            own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(classes, pa.int64())], names=[*batch.schema.names[:-1], "__class"])
+def _classed(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)  # the text as a string
+            for lo, hi in pieces(column):
+                classes = [_class(s) if len(s) else None for s in shingle_sets(column.slice(lo, hi - lo))]
+                own = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(classes, pa.int64())], names=[*batch.schema.names[:-1], name])
+
+    return run
 
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -464,22 +524,27 @@ def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     Rows are addressed by doc_id. Where a doc_id is null or occurs twice, its rows are
     told apart by the sets of their texts: one row of those with the component's first
-    doc_id and set stays, the one with the smallest text. Rows with empty sets stay.
+    doc_id and set stays, the one with the smallest text; other texts with that doc_id
+    are decided on their own. Rows with empty sets (null and empty texts) stay. An
+    empty table stays empty; other columns are kept, whatever their names.
     """
+    own_id, own_class, own_row = scratch.fresh(docs, "__id", "__class", "__row")
     members, named = _components(docs, key, text)
     found = members.join(named.withColumnRenamed("class", "__class"), F.col("class") == F.col("__class"))
-    dropped = found.where("component_id is null or component_id <> doc_id").select(F.col("doc_id").alias("__id"))
-    unclear = members.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    dropped = found.where("component_id is null or component_id <> doc_id").select(F.col("doc_id").alias(own_id))
+    unclear = members.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(own_id))
     unclear = scratch.table(unclear, "unclear")
     if unclear.isEmpty():
-        return docs.join(scratch.small(scratch.table(dropped, "near")), F.col(key) == F.col("__id"), "left_anti")
-    same = F.col(key).eqNullSafe(F.col("__id"))
-    dropped = scratch.table(dropped.where("__id is not null").distinct().join(unclear, "__id", "left_anti"), "near")
-    clear = docs.join(scratch.small(unclear), same, "left_anti").join(scratch.small(dropped), F.col(key) == F.col("__id"), "left_anti")
-    rest = docs.join(scratch.small(unclear), same, "left_semi").withColumn("__class", F.col(text).cast("string"))
-    rest = scratch.table(rest.mapInArrow(_classed, StructType([*docs.schema.fields, StructField("__class", LongType())])), "unclear_rows")
-    grouped = rest.join(scratch.small(named.withColumnRenamed("class", "__class")), "__class", "left")
-    alone = grouped.where("kept_class is null").select(*docs.columns)
-    firsts = grouped.where((F.col("__class") == F.col("kept_class")) & F.col(key).eqNullSafe(F.col("component_id")))
-    firsts = firsts.groupBy("__class").agg(F.min_by(F.struct(*docs.columns), F.col(text).cast("string")).alias("__row")).select("__row.*")
+        return docs.join(scratch.small(scratch.table(dropped, "near")), F.col(key) == F.col(own_id), "left_anti")
+    same = F.col(key).eqNullSafe(F.col(own_id))
+    dropped = scratch.table(dropped.where(F.col(own_id).isNotNull()).distinct().join(unclear, own_id, "left_anti"), "near")
+    clear = docs.join(scratch.small(unclear), same, "left_anti").join(scratch.small(dropped), F.col(key) == F.col(own_id), "left_anti")
+    rest = docs.join(scratch.small(unclear), same, "left_semi").withColumn(own_class, F.col(text).cast("string"))
+    rest = scratch.table(rest.mapInArrow(_classed(own_class), StructType([*docs.schema.fields, StructField(own_class, LongType())])), "unclear_rows")
+    kept, component = scratch.fresh(rest, "__kept_class", "__component")
+    named = named.select(F.col("class").alias(own_class), F.col("kept_class").alias(kept), F.col("component_id").alias(component))
+    grouped = rest.join(scratch.small(named), own_class, "left")
+    alone = grouped.where(F.col(kept).isNull()).select(*docs.columns)
+    firsts = grouped.where((F.col(own_class) == F.col(kept)) & F.col(key).eqNullSafe(F.col(component)))
+    firsts = firsts.groupBy(own_class).agg(F.min_by(F.struct(*docs.columns), F.col(text).cast("string")).alias(own_row)).select(f"{own_row}.*")
     return clear.unionByName(alone).unionByName(firsts)

@@ -10,6 +10,7 @@ import gc
 import mmap
 import os
 import tempfile
+import time
 import uuid
 from urllib.parse import unquote, urlparse
 
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+FREE_EVERY_S = 20
+_leaving: set[str] = set()
+_freed = [0.0]
 
 
 def root(spark: SparkSession) -> str:
@@ -27,7 +31,14 @@ def root(spark: SparkSession) -> str:
             raise ValueError(f"{SETTING} must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="undula-")
         spark.conf.set(SETTING, base)
-    return f"{base.rstrip('/')}/undula-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/undula-{spark.sparkContext.applicationId}"
+    if path not in _leaving:  # deleted when the driver ends; clear() does it earlier
+        _leaving.add(path)
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = there.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(there)
+        store.deleteOnExit(there)
+    return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -44,16 +55,33 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    free_shuffles(spark)
+    if time.monotonic() - _freed[0] > FREE_EVERY_S:
+        free_shuffles(spark)
     return out
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of plans that are no longer referenced."""
+    """Let Spark's cleaner delete shuffle files of plans that are no longer referenced.
+
+    It acts when the collectors of Python and of the JVM run, so both are asked to;
+    called by hand after large exchanges, otherwise every FREE_EVERY_S seconds at most.
+    """
+    _freed[0] = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, whatever their case: underscores are put before ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scan_tasks(df: DataFrame) -> int:
     """Number of tasks that read ``df``; it grows with the input."""
     return max(1, df._jdf.toJavaRDD().getNumPartitions())
