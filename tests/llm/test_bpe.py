@@ -1,4 +1,5 @@
 import hashlib
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +29,20 @@ def test_same_as_the_library(texts):
         assert np.frombuffer(ids, "<u4").tolist() == want and decoded == back == CODER.decode(ids) and n == len(want)
 
 
+def test_every_character():
+    """Every code point, alone, within a word and with marks on it, is encoded as by the library."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for a, b in bpe.LATE_MARKS for c in range(a, b + 1)]
+    texts = ["".join(f"a{chr(c)}b {chr(c)} " for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    texts += [f"q{chr(a)}{chr(b)}{chr(c)} " for a in marks for b in (0x301, 0x323, 0x334, 0x345) for c in (a, 0x327)]
+    texts += [f"q{chr(b)}{chr(a)}" for a in marks for b in (0x301, 0x323, 0x334, 0x345)] + ["\U00011935\U00011930 \U00011938\u0301"]
+    texts += [unicodedata.normalize("NFD", chr(c)) + "\u0323" for c in points if unicodedata.decomposition(chr(c))]
+    for k in range(0, len(texts), 512):
+        part = texts[k : k + 512]
+        for text, (ids, _, _), want in zip(part, CODER.encode_batch(part), REFERENCE.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids, ascii(text)
+
+
 def test_failing_pairs_are_found():
     words = ["".join(w) for w in (("th", "an", "d"), ("in", "g", "er"), ("unt", "ion"), ("aa",) * 9, ("banana",), ("antidis",))]
     coder = bpe.Coder(bpe.Vocabulary.load(PATH))

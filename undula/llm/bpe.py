@@ -37,6 +37,26 @@ _NONE = np.int64(1 << 40)
 _LAST = (1 << 40, -1)
 #: White space as Unicode has it, for use in a class of characters.
 _BLANKS = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and numbers that Unicode 16 has and 15.1, the interpreter's, hasn't.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: Capitals that Unicode 17 has and 15.1 hasn't: (first, last, first small one).
+NEW_CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+#: Marks later than Unicode 9. Composition follows that version, so they neither move nor combine.
+LATE_MARKS = [
+    (0x07FD, 0x07FD), (0x0898, 0x089F), (0x08CA, 0x08D3), (0x09FE, 0x09FE), (0x0C3C, 0x0C3C), (0x0D3B, 0x0D3C), (0x0EBA, 0x0EBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE),
+    (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070),
+    (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x11938, 0x11938), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34),
+    (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F),
+    (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
 #: Up to here all versions of Unicode agree on letters and digits.
 _BEYOND = re.compile("[^\x00-\u024f]").search
 _SAFE = regex.compile("[ \\n](?=[A-Za-z])").search
@@ -70,11 +90,33 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+def _ranges(spans: list[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+
+
 def _class_of(kind: str) -> str:
-    """Ranges of the characters of a general category, by the interpreter's tables."""
+    """Ranges of the characters of a general category, by the interpreter's tables and what is new since."""
     member = [unicodedata.category(chr(i))[0] == kind for i in range(0x110000)] + [False]
     edges = [i for i in range(0x110001) if member[i] != member[i - 1]]
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+    return _ranges([(a, b - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]) + _ranges(NEW_LETTERS if kind == "L" else NEW_NUMBERS)
+
+
+_CAPITALS = {a + i: b + i for a, last, b in NEW_CAPITALS for i in range(last - a + 1)}
+_HAS_CAPITALS = re.compile(f"[{_ranges([(a, b) for a, b, _ in NEW_CAPITALS])}]").search
+_MARKS = re.compile(f"([{_ranges(LATE_MARKS)}])")
+
+
+def normalise(text: str) -> str:
+    """Canonical composition and lower case, letter by letter (no final form of sigma), as the library does them."""
+    if not _BEYOND(text):
+        return unicodedata.normalize("NFC", text).lower()
+    if _MARKS.search(text):  # each half is composed on its own
+        text = "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(_MARKS.split(text)))
+    else:
+        text = unicodedata.normalize("NFC", text)
+    if _HAS_CAPITALS(text):
+        text = text.translate(_CAPITALS)
+    return text.replace("\u03a3", "\u03c3").lower()
 
 
 def cut(text: str) -> list[str]:
@@ -249,8 +291,7 @@ class Coder:
                 if piece.isascii():
                     out += self.find_words(piece.lower())
                     continue
-                # letter by letter: no final form of sigma
-                piece = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3").lower()
+                piece = normalise(piece)
                 out += (self.find_words_beyond if _BEYOND(piece) else self.find_words)(piece)
         return out
 
