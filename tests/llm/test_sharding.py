@@ -1,8 +1,10 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
+from undula.llm import sharding
 from undula.llm.sharding import SLOTS, SlotMap, shard, slot_bytes
 
 
@@ -24,6 +26,29 @@ def test_law_and_places(corpus, rng):
     assert all({r.doc_id: r.shard for r in got}[k] == v for k, v in alone.items())
 
 
+def test_hot_keys_and_clashing_columns(spark, corpus, monkeypatch):
+    """A repeated row, a repeated id and null ids; columns named like inner ones."""
+    monkeypatch.setattr(sharding, "RUN", 100)
+    rows = [(None, f"t{i}") for i in range(500)] + [(5, "same")] * 1050 + [(6, f"t{i}") for i in range(300)]
+    docs = corpus(rows).withColumns({c: F.lit("x") for c in ("n", "part", "size", "virtual_slot", "first", "shard", "run", "again", "bytes")})
+    got = shard(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.size) for r in got if r.doc_id == 5) == [(False, 5, 12)] * 1050 and len(got) == len(rows)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert {r.virtual_slot_bytes for r in got if r.doc_id == 5} == {1050 * 12}
+
+
+def test_the_stored_map_decides(spark, corpus, tmp_path):
+    path = f"file://{tmp_path}/map"
+    got = shard(corpus([(i, "x") for i in range(200)]), path=path).collect()
+    now, grown = SlotMap.read(spark, path, 1), SlotMap.read(spark, path, 2)
+    assert now == SlotMap.initial(24) and grown == now.grow()
+    assert all(r.shard == now.shards[r.virtual_slot] and r.grown_shard == grown.shards[r.virtual_slot] for r in got)
+    edited = grown.rebalance({slot: 5 for slot in range(100)})
+    edited.store(spark, path)
+    assert SlotMap.read(spark, path, 3) == edited and SlotMap.read(spark, path, 1) == now
+
+
 def test_map_versions():
     first = SlotMap.initial(24)
     grown = first.grow()

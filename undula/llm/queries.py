@@ -36,7 +36,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_held_out(_documents(spark, sf_dir), parts=7, held=2)
+    return lm.score_held_out(_documents(spark, sf_dir), parts=7, held=2).drop("perplexity")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return out.select("conv_id", "turn", "place", "message", "valid")
+    return out.select("conv_id", "turn", "place", "message", F.to_json("problems").alias("problems"), "valid")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -98,7 +98,78 @@ def _license_sql(least: float = 0.8) -> str:
         FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.k = 1"""
 
 
+#: CRC-32 in SQL, byte by byte over the table of its polynomial. A view crc(key, crc) of a view bytes(key, hex).
+_CRC_SQL = """
+        crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c FROM range(256) r(i))),
+        crc AS (SELECT key, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex, '..'), lambda b: ('0x' || b)::BIGINT)), lambda c, v: xor(t[xor(c % 256, v) + 1], c // 256))) AS crc FROM bytes, crc_table)"""
+
+
+def _held_out_sql(parts: int, held: int) -> str:
+    """Views of the documents with their fold: d(doc_id, text, held_out)."""
+    return f"""bytes AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, '') AS key, hex(encode(coalesce(doc_id::VARCHAR, ''))) AS hex FROM documents),{_CRC_SQL},
+        d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, crc % {parts} = {held} AS held_out FROM documents JOIN crc ON key = coalesce(doc_id::VARCHAR, ''))"""
+
+
+def _discount_sql(view: str, column: str, name: str) -> str:
+    """View of the three modified Kneser-Ney discounts of a view's counts."""
+    n = ", ".join(f"count(*) FILTER ({column} = {k}) AS n{k}" for k in (1, 2, 3, 4))
+    d = ", ".join(f"least(greatest(CASE WHEN n{k} > 0 AND n{k + 1} > 0 THEN {k} - {k + 1} * y * n{k + 1} / n{k} ELSE y END, 0.01), {k} - 0.01) AS d{k}" for k in (1, 2, 3))
+    return f"{name} AS (SELECT {d} FROM (SELECT *, CASE WHEN n1 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END AS y FROM (SELECT {n} FROM {view})))"
+
+
+def _cut_sql(count: str, discounts: str) -> str:
+    return f"CASE WHEN {count} = 0 THEN 0.0 WHEN {count} = 1 THEN {discounts}.d1 WHEN {count} = 2 THEN {discounts}.d2 ELSE {discounts}.d3 END"
+
+
+def _lm_sql() -> str:
+    """Counts and probabilities of the bigram model, one row a token; the end of a text is the token ' '."""
+    return f"""
+        WITH {_held_out_sql(7, 2)},
+        w AS (SELECT r, held_out, list_concat(list_filter(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '[\\x09-\\x0D ]+'), lambda w: w <> ''), [' ']) AS w FROM d),
+        tok AS (SELECT r, held_out, unnest(list_concat([''], w[:-2])) AS v, unnest(w) AS w FROM w),
+        uni AS (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
+        tot AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS words FROM uni),
+        bi AS (SELECT v, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY v, w),
+        ends AS (SELECT w, count(*) AS e FROM bi GROUP BY w),
+        {_discount_sql("bi", "c", "high")}, {_discount_sql("ends", "e", "deep")},
+        ctx AS (SELECT v, sum(c) AS total, sum({_cut_sql("c", "high")}) AS cut FROM bi, high GROUP BY v),
+        rest AS (SELECT sum({_cut_sql("e", "deep")}) / (SELECT count(*) FROM bi) / (SELECT words + 1 FROM tot) AS rest FROM ends, deep),
+        kinds AS (SELECT DISTINCT v, w FROM tok),
+        p AS (SELECT k.v, k.w, coalesce(uni.c, 0) AS c, coalesce(bi.c, 0) AS cc, ctx.total, ctx.cut,
+                     (coalesce(e, 0) - {_cut_sql("coalesce(e, 0)", "deep")}) / (SELECT count(*) FROM bi) + rest AS low
+              FROM kinds k LEFT JOIN uni ON uni.w = k.w LEFT JOIN bi ON bi.v = k.v AND bi.w = k.w LEFT JOIN ctx ON ctx.v = k.v LEFT JOIN ends ON ends.w = k.w, deep, rest),
+        q AS (SELECT v, w, c, round(1e9 * log10((c + 1) / (n + 1 * (words + 1))))::BIGINT AS base,
+                     round(1e9 * log10(CASE WHEN total > 0 THEN (cc - {_cut_sql("cc", "high")} + cut * low) / total ELSE low END))::BIGINT AS score FROM p, tot, high)
+        SELECT d.doc_id, d.held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, (SELECT n FROM tot) AS train_tokens, sum(base)::BIGINT / 1e9 AS base_score, sum(score)::BIGINT / 1e9 AS score
+        FROM tok JOIN q USING (v, w) JOIN d USING (r) GROUP BY d.r, d.doc_id, d.held_out"""
+
+
+def _sharding_sql(shards: int = 24, slots: int = 4096) -> str:
+    """The slots that a further shard takes are the highest of the fullest shards, one by one."""
+    return f"""
+        WITH bytes AS (SELECT row_number() OVER () AS key, doc_id, hex(encode(coalesce(text, ''))) AS hex FROM documents),{_CRC_SQL},
+        x AS (SELECT doc_id, len(hex)::BIGINT // 2 + 8 AS size, crc AS text_crc32, (('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT % {slots})::INTEGER AS virtual_slot FROM bytes JOIN crc USING (key)),
+        moved AS (SELECT v, row_number() OVER (ORDER BY v // {shards} DESC, v % {shards}) <= {slots} // {shards + 1} AS moves FROM range({slots}) r(v))
+        SELECT doc_id, size, text_crc32, 'key' AS law, (virtual_slot % {shards})::INTEGER AS shard,
+               row_number() OVER (PARTITION BY virtual_slot % {shards} ORDER BY virtual_slot, text_crc32 % 64, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+               CASE WHEN moves THEN {shards} ELSE virtual_slot % {shards} END::INTEGER AS grown_shard, virtual_slot, 1 AS map_version,
+               sum(size) OVER (PARTITION BY virtual_slot)::BIGINT AS virtual_slot_bytes
+        FROM x JOIN moved ON v = virtual_slot"""
+
+
+def _chat_sql() -> str:
+    """Conversations without tool messages, as the test tables have them: by turn, each message as canonical JSON."""
+    return """
+        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place,
+               '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS message,
+               '[]' AS problems, true AS valid
+        FROM conversations"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_lm": _lm_sql(),
+    "op6_sharding": _sharding_sql(),
+    "op10_chat": _chat_sql(),
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
