@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -68,5 +69,51 @@ def test_odd_rows(spark, corpus):
     assert out.where("source = 'a'").count() == 2 and out.where("doc_id = 4").count() == 1 and out.select("doc_id").distinct().count() == 5
     with pytest.raises(ValueError, match="either"):
         mixing.mix(corpus(rows, SCHEMA), max_passes=2.0, entropy=1.0)
-    with pytest.raises(ValueError, match="taken"):
-        mixing.mix(corpus(rows, SCHEMA).withColumn("_pass", F.lit(1)))
+
+
+def test_names_that_are_taken(corpus, rng):
+    docs, _ = make(corpus, {"a": 60, "b": 20}, rng)
+    taken = ["_pass", "__block", "__key", "_weight", "__passes", "id", "tokens", "key"]
+    odd = docs.withColumns({c: F.lit(c) for c in taken})
+    out = mixing.mix(odd, max_passes=1.7)
+    assert out.columns == [*odd.columns, "__weight", "_tokens", "__pass", "_position"]
+    assert {tuple(r[c] for c in taken) for r in out.collect()} == {tuple(taken)}
+    plain = mixing.mix(docs, max_passes=1.7)
+    assert sorted((r.doc_id, r["__pass"], r._position) for r in out.collect()) == sorted((r.doc_id, r._pass, r._position) for r in plain.collect())
+
+
+def by_hand(rows, most, blocks):
+    """(doc_id, pass) of every row of the mix, by sorting and adding up."""
+
+    def order(*parts):
+        return int(hashlib.md5("|".join("" if p is None else str(p) for p in parts).encode()).hexdigest()[:15], 16)
+
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    high, low = max(size.values()), min(n for n in size.values() if n)
+    e = max(0.0, 1 - math.log(most) / math.log(high / low)) if high > low else 0.0
+    out = []
+    for s, n in size.items():
+        key, own = "\0null" if s is None else s, [r for r in rows if r[2] == s]
+        exact = (high / n) ** (1 - e) if n else 1.0
+        whole = round(exact) if abs(exact - round(exact)) < 1e-6 else int(exact)
+        out += [(i, k) for i, _, _ in own for k in range(whole)]
+        left = (exact - whole) * n
+        if left > 1e-6 * n:
+            ids = sorted({i for i, _, _ in own}, key=lambda i: (order(key, whole, order("block", i) % blocks), order(i, whole)))
+            for i in ids:
+                same = [r for r in own if r[0] == i]
+                if left <= 0:
+                    break
+                out += [(i, whole)] * len(same)
+                left -= sum(len((t or "").split()) for _, t, _ in same)
+    return sorted(out, key=str)
+
+
+def test_against_brute_force(corpus, rng, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 16)
+    docs, rows = make(corpus, {"big": 300, "mid": 110, "less": 47, "small": 9, None: 30}, rng)
+    rows = [*rows, (5000, None, "mid"), (5001, "", "void"), (3, "w w w", "less"), (470, "w", "less"), (470, "w w", "less"), (None, "w", "small")]
+    out = mixing.mix(corpus(rows, SCHEMA, name="all"), max_passes=2.5)
+    assert sorted(((r.doc_id, r._pass) for r in out.collect()), key=str) == by_hand(rows, 2.5, 16)

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from undula.llm import scratch
 
-#: Blocks a source; a window over them, and one over a block's rows, fit a task.
+#: Blocks a source at least, and the mean rows of a block beyond which there are more: a window over
+#: blocks, and one over a block's rows, fit a task.
 BLOCKS = 4096
+BLOCK_ROWS = 1 << 20
 #: The plan has a row a source; up to so many it is broadcast, beyond it is joined.
 FEW_SOURCES = 10_000
 _PLACES = 32
@@ -93,17 +95,22 @@ def temperature(totals: DataFrame, max_passes: float | None = None, entropy: flo
 
 
 def _order(*parts: Column | str) -> Column:
-    return F.xxhash64(*parts)
+    """60 bits of an MD5: a place in a permutation that depends on nothing but ``parts``."""
+    text = F.concat_ws("|", *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def plan(rows: DataFrame, t: Temperature) -> DataFrame:
-    """(source, weight, budget, passes, last_block, last_row) for each source.
+def _block(key: Column, blocks: int) -> Column:
+    return (_order(F.lit("block"), key) % blocks).cast("int")
 
-    ``rows``: source, tokens, block, id. In the last, partial pass a document is taken
-    if (order of its block, its own order) comes before (last_block, last_row) or
-    equals it; both are null where there is no partial pass.
+
+def plan(rows: DataFrame, totals: DataFrame, t: Temperature) -> DataFrame:
+    """(key, source, weight, budget, passes, last_block, last_row) for each source.
+
+    ``rows``: source, tokens, block, id; ``totals``: source, tokens. In the last, partial
+    pass a document is taken if (order of its block, its own order) comes before
+    (last_block, last_row) or equals it; both are null where there is no partial pass.
     """
-    totals = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     share = F.col("tokens") / F.lit(t.total or 1.0)
     weight = F.when(F.col("tokens") > 0, F.pow(share, F.lit(t.exponent)) / F.lit(t.scale)).otherwise(0.0)
     quota = F.col("weight") * F.lit(t.budget)
@@ -117,7 +124,8 @@ def plan(rows: DataFrame, t: Temperature) -> DataFrame:
     before = F.coalesce(F.sum("tokens").over(W.partitionBy("key").orderBy("order", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # the block in which the budget ends: the last one that begins before its end
     ends = blocks.withColumn("before", before).where("before < rest").groupBy("key").agg(F.max(F.struct("order", "block", "before", "rest", "passes")).alias("x")).select("key", "x.*")
-    inner = rows.withColumn("key", F.coalesce("source", F.lit("\0null"))).join(ends, ["key", "block"]).withColumn("own", _order("id", "passes"))
+    inner = rows.withColumn("key", F.coalesce("source", F.lit("\0null"))).join(ends, ["key", "block"])
+    inner = inner.groupBy("key", "order", "before", "rest", "passes", "id").agg(F.sum("tokens").alias("tokens")).withColumn("own", _order("id", "passes"))  # rows of an id share their fate
     held = F.coalesce(F.sum("tokens").over(W.partitionBy("key").orderBy("own", "id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     last = inner.withColumn("held", held).where(F.col("before") + F.col("held") < F.col("rest")).groupBy("key").agg(F.max("order").alias("last_block"), F.max("own").alias("last_row"))
     return sources.join(last, "key", "left").select("key", "source", "weight", "budget", "passes", "last_block", "last_row")
@@ -128,26 +136,33 @@ def mix(docs: DataFrame, max_passes: float | None = 2.0, entropy: float | None =
 
     ``_pass`` counts a document's copies from 0. Sorted by ``_position`` (0 to 1), any
     prefix of the mix holds the sources in their target weights. A null source is a
-    source; one without any token is passed over once; documents without tokens go
-    with whole passes, and with a partial one where their order falls. Rows that
-    repeat an id share their fate. An empty table gives no rows.
+    source; one without any token is passed over once; documents without tokens (null
+    and empty texts) go with whole passes, and with a partial one where their order
+    falls. Rows that repeat an id share their fate. An empty table gives no rows. The
+    four columns come last, in this order; where ``docs`` has a column of that name,
+    underscores are put before it.
     """
-    names = {"_weight", "_tokens", "_pass", "_position"} & set(docs.columns)
-    if names:
-        raise ValueError(f"columns {sorted(names)} are taken")
-    block = F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(BLOCKS))
-    rows = scratch.table(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), tokens_of(F.col(text)).alias("tokens"), block.alias("block")), "mixing")
-    t = temperature(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), max_passes, entropy, budget)
-    sources = scratch.table(plan(rows, t), "weights")
-    small = sources.drop("source").withColumnsRenamed({c: f"__{c}" for c in sources.columns})
+    added = scratch.fresh(docs, "_weight", "_tokens", "_pass", "_position")
+    own_weight, own_tokens, own_pass, own_position = added
+    rows = docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), tokens_of(F.col(text)).alias("tokens"))
+    rows = scratch.table(rows, "mixing")
+    totals = scratch.table(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "totals")
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    blocks = BLOCKS << max(0, math.ceil(math.log2(max(1, n) / (BLOCKS * BLOCK_ROWS))))
+    t = temperature(totals, max_passes, entropy, budget)
+    sources = scratch.table(plan(rows.withColumn("block", _block(F.col("id"), blocks)), totals.select("source", "tokens"), t), "weights")
+    names = ("key", "weight", "passes", "last_block", "last_row")
+    inner = dict(zip((*names, "block"), scratch.fresh(docs, *(f"__{c}" for c in (*names, "block"))), strict=True))
+    at = {c: F.col(x) for c, x in inner.items()}
+    small = sources.select(*(F.col(c).alias(inner[c]) for c in names))
     if small.count() <= FEW_SOURCES:
         small = F.broadcast(small)
-    out = docs.withColumn("__block", block).join(small, F.coalesce(F.col(source).cast("string"), F.lit("\0null")) == F.col("__key"))
-    block_order, own = _order("__key", "__passes", "__block"), _order(F.col(key), "__passes")
-    partial = (block_order < F.col("__last_block")) | ((block_order == F.col("__last_block")) & (own <= F.col("__last_row")))
-    times = F.col("__passes") + F.coalesce(partial, F.lit(False)).cast("long")
-    out = out.withColumn("_pass", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<bigint>"))))
+    out = docs.withColumn(inner["block"], _block(F.col(key), blocks)).join(small, F.coalesce(F.col(source).cast("string"), F.lit("\0null")) == at["key"])
+    block_order, own = _order(at["key"], at["passes"], at["block"]), _order(F.col(key), at["passes"])
+    partial = (block_order < at["last_block"]) | ((block_order == at["last_block"]) & (own <= at["last_row"]))
+    times = at["passes"] + F.when(at["last_block"].isNotNull(), partial.cast("long")).otherwise(F.lit(0).cast("long"))
+    out = out.withColumn(own_pass, F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<bigint>"))))
     # a place in the order of this pass, from the block's and the row's order
-    place = (_order("__key", "_pass", "__block") / F.lit(2.0**64) + 0.5) * (1 - 2.0**-20) + (_order(F.col(key), "_pass") / F.lit(2.0**64) + 0.5) * 2.0**-20
-    passes = F.greatest(F.col("__passes") + F.when(F.col("__last_block").isNull(), 0.0).otherwise(F.col("__last_block") / F.lit(2.0**64) + 0.5), F.lit(1e-9))
-    return out.select(*docs.columns, F.col("__weight").alias("_weight"), tokens_of(F.col(text)).alias("_tokens"), "_pass", F.least(F.lit(1.0), (F.col("_pass") + place) / passes).alias("_position"))
+    place = _order(at["key"], F.col(own_pass), at["block"]) / F.lit(2.0**60) * F.lit(1 - 2.0**-20) + _order(F.col(key), F.col(own_pass)) / F.lit(2.0**60) * F.lit(2.0**-20)
+    passes = F.greatest(at["passes"] + F.when(at["last_block"].isNull(), 0.0).otherwise(at["last_block"] / F.lit(2.0**60)), F.lit(1e-9))
+    return out.select(*docs.columns, at["weight"].alias(own_weight), tokens_of(F.col(text)).alias(own_tokens), own_pass, F.least(F.lit(1.0), (F.col(own_pass) + place) / passes).alias(own_position))

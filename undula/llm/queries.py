@@ -31,8 +31,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_documents(spark, sf_dir), max_passes=2.0)
-    return mixed.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_pass").alias("pass"), F.col("_position").alias("position"))
+    docs = _documents(spark, sf_dir)
+    mixed = mixing.mix(docs, max_passes=2.0)
+    weight, tokens, nth, position = mixed.columns[-4:]
+    return mixed.select("doc_id", "source", F.col(tokens).alias("n_tokens"), F.round(weight, 6).alias("weight"), F.col(nth).alias("pass"), F.col(position).alias("position"))
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +146,35 @@ def _lm_sql() -> str:
         FROM tok JOIN q USING (v, w) JOIN d USING (r) GROUP BY d.r, d.doc_id, d.held_out"""
 
 
+def _mixing_sql(most: float = 2.0, blocks: int = 4096) -> str:
+    """The exponent at which the least source is passed over ``most`` times has a closed form; blocks and rows are sorted and added up."""
+    order = lambda *x: f"('0x' || substr(md5({' || chr(124) || '.join(x)}), 1, 15))::BIGINT"
+    return f"""
+        WITH d AS (SELECT doc_id, source, coalesce(source, chr(0) || 'null') AS key, coalesce(doc_id::VARCHAR, '') AS id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM documents),
+        r AS (SELECT *, ({order("'block'", "id")} % {blocks})::INTEGER AS block FROM d),
+        t AS (SELECT key, sum(tokens) AS tokens FROM r GROUP BY key),
+        e AS (SELECT max(tokens) AS high, sum(tokens) AS total, CASE WHEN max(tokens) > {most} * min(tokens) THEN 1 - ln({most}) / ln(max(tokens) / min(tokens)) ELSE 0 END AS e FROM t WHERE tokens > 0),
+        x AS (SELECT key, tokens, CASE WHEN tokens > 0 THEN power(high / tokens, 1 - e) ELSE 1.0 END AS exact,
+                     CASE WHEN tokens > 0 THEN power(tokens / total, e) / sum(CASE WHEN tokens > 0 THEN power(tokens / total, e) ELSE 0 END) OVER () ELSE 0.0 END AS weight FROM t, e),
+        s AS (SELECT *, (CASE WHEN abs(exact - round(exact)) < 1e-6 THEN round(exact) ELSE floor(exact) END)::BIGINT AS passes FROM x),
+        q AS (SELECT *, CASE WHEN exact - passes > 1e-6 THEN (exact - passes) * tokens ELSE 0.0 END AS rest FROM s),
+        b AS (SELECT r.key, block, rest, passes, sum(r.tokens) AS tokens, {order("r.key", "passes::VARCHAR", "block::VARCHAR")} AS bo FROM r JOIN q USING (key) WHERE rest > 0 GROUP BY r.key, block, rest, passes),
+        c AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY key ORDER BY bo, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+        f AS (SELECT * FROM c WHERE before < rest QUALIFY row_number() OVER (PARTITION BY key ORDER BY bo DESC, block DESC) = 1),
+        i AS (SELECT f.key, f.bo, f.before, f.rest, {order("r.id", "f.passes::VARCHAR")} AS own, r.id, sum(r.tokens) AS tokens FROM r JOIN f ON f.key = r.key AND f.block = r.block GROUP BY ALL),
+        h AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY key ORDER BY own, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM i),
+        l AS (SELECT key, max(bo) AS last_block, max(own) AS last_row FROM h WHERE before + held < rest GROUP BY key),
+        m AS (SELECT r.*, q.weight, q.passes, l.last_block, l.last_row,
+                     q.passes + CASE WHEN last_block IS NULL THEN 0 WHEN {order("r.key", "q.passes::VARCHAR", "block::VARCHAR")} < last_block
+                       OR ({order("r.key", "q.passes::VARCHAR", "block::VARCHAR")} = last_block AND {order("id", "q.passes::VARCHAR")} <= last_row) THEN 1 ELSE 0 END AS times
+              FROM r JOIN q USING (key) LEFT JOIN l USING (key)),
+        n AS (SELECT *, unnest(range(times)) AS pass FROM m)
+        SELECT doc_id, source, tokens AS n_tokens, round(weight, 6) AS weight, pass,
+               least(1.0, (pass + ({order("key", "pass::VARCHAR", "block::VARCHAR")} / power(2.0, 60) * (1 - power(2.0, -20)) + {order("id", "pass::VARCHAR")} / power(2.0, 60) * power(2.0, -20)))
+                     / greatest(passes + CASE WHEN last_block IS NULL THEN 0.0 ELSE last_block / power(2.0, 60) END, 1e-9))::DOUBLE AS position
+        FROM n"""
+
+
 def _sharding_sql(shards: int = 24, slots: int = 4096) -> str:
     """The slots that a further shard takes are the highest of the fullest shards, one by one."""
     return f"""
@@ -167,6 +198,7 @@ def _chat_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op3_mixing": _mixing_sql(),
     "op4_lm": _lm_sql(),
     "op6_sharding": _sharding_sql(),
     "op10_chat": _chat_sql(),
