@@ -82,22 +82,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _license_sql(least: float = 0.8) -> str:
-    """Every unit of every text against every template; no pruning."""
+    """Every unit of every text against every template whose size lets it reach ``least``."""
     rows = [(name, licenses.bigrams_of(t)) for name, ts in sorted(licenses.TEMPLATES.items()) for t in ts]
     values = ", ".join(f"('{name}', [{', '.join(repr(b) for b in bigrams)}])" for name, bigrams in rows)
     return f"""
-        WITH t(id, tb) AS (VALUES {values}),
-        n AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS norm FROM documents),
-        u AS (SELECT doc_id, unnest(list_concat(list_concat(string_split(norm, chr(10)), string_split_regex(norm, '\\n\\s*\\n')), [norm])) AS raw FROM n),
-        v AS (SELECT doc_id, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS unit FROM u),
-        w AS (SELECT DISTINCT doc_id, unit, string_split(unit, ' ') AS ws FROM v WHERE contains(unit, ' ')),
-        b AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS ub FROM w WHERE len(ws) <= 200),
-        m AS (SELECT doc_id, unit, id, 2.0 * len(list_intersect(ub, tb)) / (len(ub) + len(tb)) AS dice FROM b, t),
-        g AS (SELECT * FROM m WHERE dice >= {least} - 1e-9),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, id, unit) AS k FROM g)
-        SELECT d.doc_id, r.id AS license_id, r.dice::DOUBLE AS dice, r.unit,
-               coalesce((SELECT count(DISTINCT g.id) FROM g WHERE g.doc_id = d.doc_id), 0) AS n_licenses
-        FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.k = 1"""
+        WITH t AS (SELECT id, tb, len(tb) AS tn FROM (VALUES {values}) x(id, tb)),
+        n AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS norm FROM documents),
+        u AS (SELECT r, unnest(list_concat(list_concat(string_split(norm, chr(10)), string_split_regex(norm, '\\n\\s*\\n')), [norm])) AS raw FROM n),
+        v AS (SELECT r, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS unit FROM u),
+        w AS (SELECT DISTINCT r, unit, string_split(unit, ' ') AS ws FROM v WHERE contains(unit, ' ')),
+        b AS (SELECT r, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS ub FROM w),
+        f AS (SELECT unit, list_distinct(any_value(ub)) AS ub, len(any_value(ub)) AS un FROM b GROUP BY unit),
+        m AS (SELECT unit, id, len(list_intersect(ub, tb)) AS shared, un + tn AS total FROM f JOIN t ON 2.0 * least(un, tn) / (un + tn) >= {least} - 1e-9),
+        g AS (SELECT r, unit, id, shared, total FROM b JOIN m USING (unit) WHERE 2.0 * shared / total >= {least} - 1e-9),
+        k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY shared DESC, total, id, unit) AS k FROM g)
+        SELECT n.doc_id, k.id AS license_id, (2.0 * k.shared / k.total)::DOUBLE AS dice, k.unit, coalesce((SELECT count(DISTINCT g.id) FROM g WHERE g.r = n.r), 0) AS n_licenses
+        FROM n LEFT JOIN k ON k.r = n.r AND k.k = 1"""
 
 
 #: CRC-32 in SQL, byte by byte over the table of its polynomial. A view crc(key, crc) of a view bytes(key, hex).
