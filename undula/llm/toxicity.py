@@ -30,6 +30,8 @@ ORDER = 7
 SHARED = 3
 #: Labelled rows that the models learn from, about (chosen by hash); the sample is bounded, not the scoring.
 SAMPLE = 24_000
+#: Bytes that their texts have together at most, and of a text that may be among them.
+SAMPLE_BYTES, LONGEST = 1 << 27, 1 << 21
 #: Every so many of them calibrate the score and aren't counted.
 CALIBRATE = 4
 _START, _STOP = 1, 2
@@ -210,23 +212,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], names=["code", "ordinary", "toxic"])
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learn from about ``sample`` of the labelled rows, chosen by the hash of their id.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from a bounded sample of the labelled rows, chosen by the hash of their id.
 
-    ``labels``: (key, label 0 or 1); rows with a null are left out, and of labels
-    that contradict each other 1 holds. n-grams and features of the sample, and
-    nothing of other rows, reach the driver.
+    ``sample``: about so many labelled ids; ``sample_bytes``: of their texts, in the order
+    of their digests, as many as have so many bytes together. Texts of more than LONGEST
+    bytes don't teach. ``labels``: (key, label 0 or 1); rows with a null are left out, and
+    of labels that contradict each other 1 holds. A null text teaches what an empty one
+    does. Without rows of both classes, the model scores every text by the share of
+    toxic rows (0 without any). n-grams and features of the sample, and nothing of other
+    rows, reach the driver.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__toxic"))
     total = known.count()
-    if total > sample:
-        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < F.lit(int(sample / total * (1 << 20))))
+    if total > sample:  # of 2^60 hashes, the share of the sample: one at least for any number of labels
+        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 60)) < F.lit(sample * (1 << 60) // total))
     place = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("__id")), F.lit(CALIBRATE))
-    rows = docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(known), "__id")  # about `sample` rows of two numbers
-    rows = rows.groupBy(F.sha2("text", 256).alias("__same")).agg(F.first("text").alias("text"), F.max("__toxic").alias("toxic"), F.min(place).alias("place"))  # copies count once
-    rows = scratch.table(rows.select("text", "toxic", (F.col("place") == 0).alias("calibrate")), "labelled")
+    rows = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(known), "__id").where(F.octet_length("text") <= LONGEST)  # about `sample` rows of two numbers
+    rows = rows.groupBy(F.sha2("text", 256).alias("same")).agg(F.first("text").alias("text"), F.max("__toxic").alias("toxic"), F.min(place).alias("place"))  # copies count once
+    rows = scratch.table(rows.select("same", F.octet_length("text").alias("size"), "text", "toxic", (F.col("place") == 0).alias("calibrate")), "labelled")
+    if (rows.agg(F.sum("size")).first()[0] or 0) > sample_bytes:
+        sizes = rows.select("same", "size").toArrow().sort_by("same")  # a digest and a number for each of the sample
+        fitting = int(np.searchsorted(np.cumsum(sizes["size"].to_numpy()), sample_bytes, "right"))
+        rows = rows.where(F.col("same") < sizes["same"][fitting].as_py())
     classes = {(r.calibrate, r.toxic): r.n for r in rows.groupBy("calibrate", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
     if any((part, c) not in classes for part in (False, True) for c in (0, 1)):
         n = sum(classes.values())
@@ -255,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1, higher: toxic) of every whole text; null and empty texts too."""
+    """doc_id and score (0 to 1, higher: toxic) of every whole text; null and empty texts too. Other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with SAMPLE only
 
     @releasing
@@ -269,7 +279,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose score is ``least`` or more; rows pass whole, nothing is joined."""
+    """``docs`` without the rows whose score is ``least`` or more; rows pass whole, nothing is joined.
+
+    Null and empty texts have the score of a text without words. Repeated rows share
+    their fate; null ids and other columns play no part; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
