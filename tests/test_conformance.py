@@ -4,7 +4,6 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-import undula.queries  # noqa: F401  registers every operator
 from undula.learn.compose import ChannelEnsembleClassifier, ChannelEnsembleRegressor
 from undula.operators.base import all_operators, is_clusterer, is_transformer
 from undula.operators.transforms import SevenNumberSummaryTransformer

@@ -63,5 +63,5 @@ def test_bad_cases(line, message):
 def test_declared_length():
     head = parse_header(iter("@equalLength true\n@seriesLength 3\n@targetLabel true\n@data".splitlines()))
     assert parse_case("1,2,3:0.5", head) == ([[1.0, 2.0, 3.0]], "0.5")
-    with pytest.raises(TsFormatError, match="declared"):
+    with pytest.raises(TsFormatError, match="is expected"):
         parse_case("1,2:0.5", head)

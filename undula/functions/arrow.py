@@ -25,6 +25,28 @@ def per_case(x: Column, function, kind: str = "array<array<double>>") -> Column:
     return run(x)
 
 
+def per_batch(x: Column, function, kind: str = "array<double>", rows: int = 256) -> Column:
+    """``function(cases x channels x length) -> cases x anything`` of runs of cases whose shapes agree."""
+
+    def run(column: pd.Series) -> pd.Series:
+        out, held, shape = [], [], None
+
+        def flush() -> None:
+            if held:
+                out.extend(function(np.stack(held)))
+                held.clear()
+
+        for _, m in _matrices(column):
+            if m.shape != shape or len(held) == rows:
+                flush()
+                shape = m.shape
+            held.append(m)
+        flush()
+        return pd.Series(list(out), dtype=object)
+
+    return F.pandas_udf(run, kind)(x)
+
+
 def next_power(n: int) -> int:
     return 1 << max(0, (n - 1).bit_length())
 

@@ -31,11 +31,17 @@ def choice_log_column(n_choice: int, *keys: Column | str, seed: int = 0) -> Colu
     """The same distribution in a plan: a row's draw depends on its keys and the seed only."""
     if n_choice <= 1:
         return F.lit(0)
-    u = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    u = share_of_case(F.concat_ws("|", *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys)), seed)
     edges = [float(v) for v in log_weights(n_choice)[:-1]]
     return F.size(F.filter(F.lit(edges), lambda e: e <= u))
 
 
+def share_of_case(key: Column | str, seed: int = 0) -> Column:
+    """A number from 0 to below 1 that depends on a case's id and a seed only: 52 bits of an MD5."""
+    text = F.concat_ws("|", (F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def share_of(i: int, n_choice: int) -> float:
     """Probability of choice ``i``."""
     return 2.0 ** -math.log(i + 1) / sum(2.0 ** -math.log(k) for k in range(1, n_choice + 1))

@@ -84,11 +84,21 @@ class HeadModel(PredictingModel):
         return out.select(*own, F.col("__p").alias("probability"), class_at(best, self.classes).alias("prediction"))
 
 
-def fit_head(df: DataFrame, features: Featuriser, head: Estimator, y: str, classes: list | None, meta: SeriesMeta | None = None) -> HeadModel:
-    """Train an MLlib estimator on the features; they are computed once."""
+def fit_head(df: DataFrame, features: Featuriser, head: Estimator, y: str, classes: list | None, meta: SeriesMeta | None = None, class_weight: str | dict | None = None) -> HeadModel:
+    """Train an MLlib estimator on the features; they are computed once.
+
+    ``class_weight``: "balanced" (cases / (classes x cases of the class)) or a weight for each class.
+    """
     target = class_index(F.col(y), classes) if classes is not None else F.col(y).cast("double")
     rows = features(df).select(array_to_vector("features").alias("__features"), target.alias("__label"))
     head = head.copy({})
+    if class_weight is not None:
+        if class_weight == "balanced":
+            counts = {r[0]: r["count"] for r in df.groupBy(y).count().collect()}  # a row a class
+            class_weight = {c: sum(counts.values()) / (len(counts) * n) for c, n in counts.items()}
+        weights = F.array(*(F.lit(float(class_weight.get(c, 1.0))) for c in classes))
+        rows = rows.withColumn("__weight", F.element_at(weights, F.col("__label").cast("int") + 1))
+        head._set(weightCol="__weight")
     for name, column in (("featuresCol", "__features"), ("labelCol", "__label"), ("predictionCol", "__prediction"), ("probabilityCol", "__probability")):
         if head.hasParam(name):
             head._set(**{name: column})

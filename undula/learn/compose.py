@@ -16,7 +16,7 @@ from undula.learn.base import Featuriser, PredictingModel, SeriesClassifier, Ser
 from undula.learn.dummy import DummyClassifier, DummyRegressor
 from undula.operators.base import SeriesEstimator, register
 from undula.operators.select import channels_of, check_key, select_channels
-from undula.series import Capabilities, SeriesMeta, as_series, flatten, pad, validate
+from undula.series import Capabilities, SeriesMeta, as_series, flatten, guarded, pad, validate
 
 _ANY_LENGTH = Capabilities(equal_length_only=False, requires_y=True)
 
@@ -27,6 +27,10 @@ def members_of(estimators: Sequence[tuple], remainder, meta: SeriesMeta) -> list
     names = [name for name, _, _ in estimators]
     if len(set(names)) != len(names):
         raise ValueError(f"the names of the members aren't unique: {names}")
+    if taken := sorted(set(names) & {"estimators", "remainder", "random_state"}):
+        raise ValueError(f"names of members are names of arguments: {taken}")
+    if odd := [name for name in names if "__" in name]:
+        raise ValueError(f"names of members must not contain __: {odd}")
     for name, estimator, key in estimators:
         key = key(meta) if callable(key) else key
         if key == "all-split":
@@ -59,8 +63,7 @@ class EnsembleModel(PredictingModel):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         own = df.columns
-        rows = as_series(df)
-        validate(rows, Capabilities(equal_length_only=False, min_length=1), like=self.meta)
+        rows = guarded(as_series(df), Capabilities(equal_length_only=False, min_length=1), self.meta)
         rows = rows.withColumn("__x", F.col("x"))
         result = "probability" if self.classes is not None else "prediction"
         for i, (_, model, channels) in enumerate(self.members):

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from undula.functions.draws import share_of_case
 from undula.learn.base import ConstantModel, PredictingModel, class_at
 from undula.operators.base import SeriesEstimator, register
 from undula.series import Capabilities, as_series, validate
 
+#: Ranges of ids in which cases are numbered, less one.
+RANGES = 500
 _ANYTHING = Capabilities(equal_length_only=False, allow_nan=True, requires_y=True, min_length=1, validates=False, non_deterministic=True)
 
 
@@ -20,7 +23,7 @@ class RandomClassModel(PredictingModel):
         self.p, self.classes, self.seed, self.one_hot = p, classes, seed, one_hot
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        u = F.pmod(F.xxhash64("case_id", F.lit(self.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        u = share_of_case("case_id", self.seed)
         steps = [sum(self.p[: i + 1]) for i in range(len(self.p) - 1)]
         index = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
         p = F.array(*(F.when(index == i, 1.0).otherwise(0.0) for i in range(len(self.p)))) if self.one_hot else F.array(*map(F.lit, self.p))
@@ -108,14 +111,16 @@ class DummyClusterModel(PredictingModel):
         if self.strategy == "single":
             return df.withColumn("cluster", F.lit(0))
         if self.strategy == "random":
-            return df.withColumn("cluster", F.pmod(F.xxhash64("case_id", F.lit(self.seed)), F.lit(self.n_clusters)).cast("int"))
-        # places of cases: within ranges of ids, after the counts of the ranges before
-        ranged = df.repartitionByRange("case_id").withColumn("__part", F.spark_partition_id())
-        ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy("case_id")) - 1)
-        sizes = ranged.groupBy("__part").count()  # a row a partition
+            return df.withColumn("cluster", F.floor(share_of_case("case_id", self.seed) * self.n_clusters).cast("int"))
+        # places of cases: within ranges of ids between fixed bounds, after the counts of the ranges before
+        ids = df.select("case_id").where("case_id is not null")
+        bounds = sorted(r[0] for r in ids.orderBy(F.xxhash64("case_id")).limit(RANGES).collect())
+        part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("case_id"))) if bounds else F.lit(0)
+        ranged = df.withColumn("__part", part).withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy("case_id")) - 1)
+        sizes = df.groupBy(part.alias("__part")).count()  # RANGES + 1 rows at most
         before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         starts = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-        return ranged.join(starts, "__part").withColumn("cluster", (F.col("__start") + F.col("__n")).cast("int")).select(*df.columns, "cluster")
+        return ranged.join(F.broadcast(starts), "__part").withColumn("cluster", (F.col("__start") + F.col("__n")).cast("int")).select(*df.columns, "cluster")
 
 
 @register("clusterer")

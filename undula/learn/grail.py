@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 from undula.functions import arrow
 from undula.learn.base import Featuriser, PredictingModel, SeriesClassifier, class_at, class_index, first_maximum, fit_head
 from undula.operators.base import register
-from undula.series import Capabilities, SeriesMeta, as_series, validate
+from undula.series import Capabilities, SeriesMeta, as_series, guarded
 
-#: Cases from which landmarks and the kernel's width are learned, at most.
-SAMPLE = 1000
 GAMMAS = range(1, 21)
 NEIGHBOURS = 5
 
@@ -104,15 +102,20 @@ class NeighbourModel(PredictingModel):
 
 @register("classifier")
 class GRAILClassifier(SeriesClassifier):
-    """classifier: "svm" (linear, cost by cross-validation), "logistic" (with probabilities) or "knn"."""
+    """classifier: "svm" (linear, cost by cross-validation), "logistic" (with probabilities) or "knn".
+
+    ``sample``: cases from which landmarks and the kernel's width are learned, at most.
+    ``costs``: those tried by cross-validation; without it every ``cost_step``-th of the
+    squares of -10 to 20 in steps of 0.11 (1: all of them).
+    """
 
     needs = Capabilities(requires_y=True, univariate_only=True, min_cases=2)
 
-    def __init__(self, classifier="svm", random_state=None, costs=None):
+    def __init__(self, classifier="svm", random_state=None, costs=None, cost_step=27, sample=1000):
         super().__init__()
         if classifier not in ("svm", "logistic", "knn"):
             raise ValueError("classifier is 'svm', 'logistic' or 'knn'")
-        self.classifier, self.random_state, self.costs = classifier, random_state, costs
+        self.classifier, self.random_state, self.costs, self.cost_step, self.sample = classifier, random_state, costs, cost_step, sample
 
     @classmethod
     def test_params(cls) -> dict:
@@ -120,7 +123,7 @@ class GRAILClassifier(SeriesClassifier):
 
     def _featuriser(self, df: DataFrame, meta: SeriesMeta) -> Featuriser:
         rng = np.random.RandomState(self.random_state)
-        sample = df.select("x", F.xxhash64("x", F.lit(self.random_state or 0)).alias("o")).orderBy("o").limit(SAMPLE).collect()  # bounded
+        sample = df.select("x", F.xxhash64("x", F.lit(self.random_state or 0)).alias("o")).orderBy("o").limit(self.sample).collect()  # bounded
         m = z(np.array([r.x[0] for r in sample]))
         d = int(np.clip(int(0.4 * meta.n_cases), 3, 100))
         centers = shapes(m, min(d, len(m)), rng)
@@ -137,9 +140,8 @@ class GRAILClassifier(SeriesClassifier):
         own = own_kernel(centers, gamma)
 
         def features(rows: DataFrame) -> DataFrame:
-            rows = as_series(rows)
-            validate(rows, Capabilities(univariate_only=True), like=meta)
-            return rows.withColumn("features", arrow.per_case(F.col("x"), lambda c: (sink(z(c[:1]), centers, gamma, own) @ project)[0].tolist(), "array<double>"))
+            rows = guarded(as_series(rows), Capabilities(univariate_only=True), meta)
+            return rows.withColumn("features", arrow.per_batch(F.col("x"), lambda c: sink(z(c[:, 0]), centers, gamma, own) @ project, rows=64))
 
         return features
 
@@ -153,7 +155,7 @@ class GRAILClassifier(SeriesClassifier):
         counts = [r["count"] for r in df.groupBy(self.label_col).count().collect()]  # a row a class
         folds = min(5, *counts)
         svm = LinearSVC(featuresCol="__features", labelCol="__label")
-        costs = self.costs or [float(i * i) for i in np.arange(-10, 20, 0.11) if abs(i) > 0.05][::27]
+        costs = self.costs or [float(i * i) for i in np.arange(-10, 20, 0.11) if abs(i) > 0.05][:: self.cost_step]
         if folds > 1 and len(costs) > 1:
             rows = features(df).select(array_to_vector("features").alias("features"), index.alias("label")).cache()
             one = OneVsRest(classifier=LinearSVC())

@@ -14,7 +14,7 @@ from undula.learn.base import Featuriser, PredictingModel, SeriesClassifier, Ser
 from undula.operators.base import SeriesTransformer, register
 from undula.operators.fpca import FPCATransformer
 from undula.operators.intervals import RandomIntervalTransformer, SupervisedIntervalTransformer
-from undula.series import Capabilities, SeriesMeta, as_series, validate
+from undula.series import Capabilities, SeriesMeta, as_series, guarded, meta_of
 
 #: Trees of a default forest.
 TREES = 200
@@ -28,15 +28,17 @@ def forest(kind: type, seed: int | None) -> Estimator:
 def interval_featuriser(df: DataFrame, meta: SeriesMeta, representations: Sequence[SeriesTransformer | None], intervals: RandomIntervalTransformer) -> Featuriser:
     """Intervals of every representation (None: the series), each drawn by its own seed."""
     parts = []
+    if intervals.min_interval_length > meta.min_length:
+        raise ValueError(f"min_interval_length is {intervals.min_interval_length}, the series have a length of {meta.min_length}")
     for i, transform in enumerate(representations):
         bound = transform.bound(meta) if transform else None
         seed = None if intervals.random_state is None else intervals.random_state + i
-        rows = bound.transform(df) if bound else df
-        parts.append((bound, intervals.clone(seed).fit(rows)))
+        # the collection has been validated; a representation has the sizes of its first case
+        own = meta_of(bound.transform(df.limit(1))) if bound else meta
+        parts.append((bound, intervals.clone(seed).drawn_for(SeriesMeta(meta.n_cases, own.n_channels, own.min_length, own.max_length))))
 
     def features(rows: DataFrame) -> DataFrame:
-        rows = as_series(rows)
-        validate(rows, Capabilities(), like=meta)
+        rows = guarded(as_series(rows), Capabilities(), meta)
         for j, (t, _) in enumerate(parts):
             rows = rows.withColumn(f"__r{j}", t.expression(F.col("x")) if t else F.col("x"))
         out = F.concat(*(m.expression(F.col(f"__r{j}")) for j, (_, m) in enumerate(parts)))

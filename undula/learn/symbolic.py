@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 from undula.functions import arrow
 from undula.learn.base import Featuriser, PredictingModel, SeriesClassifier, class_index, fit_head
 from undula.operators.base import register
-from undula.series import Capabilities, SeriesMeta, as_series, validate
+from undula.series import Capabilities, SeriesMeta, as_series, guarded
 
-#: Distinct runs of a representation that are counted, the most frequent first.
-VOCABULARY = 5000
 _LETTERS = "abcdefghijklmnop"
 
 
@@ -109,68 +107,58 @@ def representations(meta: SeriesMeta, sax: int, sfa: int, norm: bool, seed: int
 
 
 class _Symbolic:
-    def _featuriser(self, df: DataFrame, meta: SeriesMeta, classes: list, reps: Sequence[Representation], runs: Sequence[int], per_rep: int, order: str) -> Featuriser:
-        """Counts of selected runs in every representation. order: S (by chi squared), R (at random), RS, SR."""
-        target = class_index(F.col(self.label_col), classes)
+    def _featuriser(self, df: DataFrame, meta: SeriesMeta, classes: list, reps: Sequence[Representation], runs: Sequence[int], per_rep: int, pool: int, order: str) -> Featuriser:
+        """Counts of ``per_rep`` runs in every representation.
+
+        order: S (the best by chi squared), R (random ones), RS (the best of ``pool``
+        random ones), SR (random ones of the ``pool`` best). All runs are scored, in Spark;
+        only those selected reach the driver.
+        """
+        target = class_index(F.col(self.label_col), classes).cast("int")
         rows = df.select("x", target.alias("label"))
         steps = []
         for i, rep in enumerate(reps):
             rep.learn(df, meta)
             bag = rows.select("label", rep.tokens(F.col("x"), runs).alias("bag"))
             bag.cache()
-            terms = bag.select(F.explode(F.array_distinct("bag")).alias("term")).groupBy("term").count()
-            # in a fixed order, so that equal counts don't depend on the reading
-            vocabulary = [r.term for r in terms.orderBy(F.desc("count"), "term").limit(VOCABULARY).collect()]
+            terms = chi_squared(bag, len(classes)).withColumn("draw", F.xxhash64("term", F.lit((self.seed or 0) + i)))
+            # in a fixed order, so that equal scores don't depend on the reading
+            best, random = [F.desc("score"), F.col("term")], [F.col("draw"), F.col("term")]
+            first, second = {"S": (best, None), "R": (random, None), "RS": (random, best), "SR": (best, random)}[order]
+            kept = terms.orderBy(*first).limit(per_rep if second is None else max(pool, per_rep))
+            if second is not None:
+                kept = kept.orderBy(*second).limit(per_rep)
+            vocabulary = sorted(r.term for r in kept.select("term").collect())  # per_rep rows at most
+            bag.unpersist()
             counted = CountVectorizerModel.from_vocabulary(vocabulary or [""], inputCol="bag", outputCol="counts")
             counted.setBinary(True)
-            size = len(counted.vocabulary)
-            rng = np.random.RandomState((self.seed or 0) + i)
-            kept = np.arange(size)
-            if order in ("R", "RS"):
-                kept = np.sort(rng.permutation(size)[: per_rep if order == "R" else 4 * per_rep])
-            if order in ("S", "RS", "SR") and len(kept) > per_rep:
-                many = 4 * per_rep if order == "SR" else per_rep
-                score = chi_squared(bag, vocabulary)
-                kept = kept[np.lexsort((kept, -score[kept]))][:many]
-            if order == "SR" and len(kept) > per_rep:
-                kept = rng.permutation(kept)[:per_rep]
-            bag.unpersist()
-            steps.append((rep, counted, sorted(int(k) for k in kept)))
+            steps.append((rep, counted))
 
         def features(rows: DataFrame) -> DataFrame:
             own = rows.columns
-            rows = as_series(rows)
-            validate(rows, Capabilities(), like=meta)
+            rows = guarded(as_series(rows), Capabilities(), meta)
             parts = []
-            for i, (rep, counted, kept) in enumerate(steps):
+            for i, (rep, counted) in enumerate(steps):
                 rows = counted.copy({counted.inputCol: f"__b{i}", counted.outputCol: f"__c{i}"}).transform(rows.withColumn(f"__b{i}", rep.tokens(F.col("x"), runs)))
-                counts = vector_to_array(f"__c{i}")
-                parts.append(F.transform(F.lit(kept) if kept else F.array().cast("array<int>"), _pick(counts)))
-            out = F.concat(*parts)
-            return rows.withColumn("features", F.when(F.size(out) > 0, out).otherwise(F.array(F.lit(0.0)))).select(*own, "features")
+                parts.append(vector_to_array(f"__c{i}"))
+            return rows.withColumn("features", F.concat(*parts)).select(*own, "features")
 
         return features
 
 
-def chi_squared(bag: DataFrame, vocabulary: list[str]) -> np.ndarray:
-    """Chi squared of each term's presence against the labels; a row a term and class reaches the driver."""
-    labels = {r.label: r["count"] for r in bag.groupBy("label").count().collect()}
-    known = bag.sparkSession.createDataFrame([(t, i) for i, t in enumerate(vocabulary)], "term string, i int")
-    present = bag.select("label", F.explode(F.array_distinct("bag")).alias("term")).join(F.broadcast(known), "term")  # VOCABULARY rows at most
-    seen = np.zeros((len(vocabulary), len(labels)))
-    order = {y: k for k, y in enumerate(sorted(labels))}
-    for r in present.groupBy("i", "label").count().collect():
-        seen[r.i, order[r.label]] = r["count"]
-    n = np.array([labels[y] for y in sorted(labels)], float)
-    share = seen.sum(1, keepdims=True) / n.sum()
-    expected = share * n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        both = (seen - expected) ** 2 / expected + (seen - expected) ** 2 / (n - expected)
-    return np.nan_to_num(both).sum(1).round(9)
-
-
-def _pick(counts: Column):
-    return lambda k: F.element_at(counts, k + 1)
+def chi_squared(bag: DataFrame, classes: int) -> DataFrame:
+    """(term, score): chi squared of each term's presence against ``label`` (0 to classes - 1), for all terms."""
+    labels = {r.label: r["count"] for r in bag.groupBy("label").count().collect()}  # a row a class
+    n = [float(labels.get(c, 0)) for c in range(classes)]
+    present = bag.select("label", F.explode(F.array_distinct("bag")).alias("term"))
+    seen = present.groupBy("term").agg(F.count(F.lit(1)).alias("all"), *(F.sum((F.col("label") == c).cast("long")).alias(f"n{c}") for c in range(classes)))
+    share, score = F.col("all") / F.lit(sum(n)), F.lit(0.0)
+    for c in range(classes):
+        expected = share * n[c]
+        gap = (F.col(f"n{c}") - expected) * (F.col(f"n{c}") - expected)
+        for part in (expected, F.lit(n[c]) - expected):
+            score = score + F.when(part > 1e-9, gap / part).otherwise(0.0)
+    return seen.select("term", F.round(score, 9).alias("score"))
 
 
 @register("classifier")
@@ -204,11 +192,11 @@ class MrSEQLClassifier(_Symbolic, SeriesClassifier):
             reps = representations(meta, 3 * ("sax" in kinds), 3 * ("sfa" in kinds), True, self.random_state)
         head = LogisticRegression(regParam=0.01)
         if self.seql_mode == "fs":
-            return fit_head(df, self._featuriser(df, meta, classes, reps, (1, 2, 3), 200, "S"), head, self.label_col, classes, meta)
+            return fit_head(df, self._featuriser(df, meta, classes, reps, (1, 2, 3), 200, 200, "S"), head, self.label_col, classes, meta)
         from undula.learn.compose import EnsembleModel
 
         every = list(range(meta.n_channels))
-        members = [(f"{r.kind}{i}", fit_head(df, self._featuriser(df, meta, classes, [r], (1, 2, 3), 200, "S"), head, self.label_col, classes, meta), every) for i, r in enumerate(reps)]
+        members = [(f"{r.kind}{i}", fit_head(df, self._featuriser(df, meta, classes, [r], (1, 2, 3), 200, 200, "S"), head, self.label_col, classes, meta), every) for i, r in enumerate(reps)]
         return EnsembleModel(members, classes, meta)
 
 
@@ -240,7 +228,7 @@ class MrSQMClassifier(_Symbolic, SeriesClassifier):
             reps = representations(meta, self.nsax, self.nsfa, self.sfa_norm, self.random_state)
         if not reps:
             raise ValueError("there are no representations: nsax and nsfa are 0")
-        features = self._featuriser(df, meta, classes, reps, (1, 2, 3), self.features_per_rep, self.strat)
+        features = self._featuriser(df, meta, classes, reps, (1, 2, 3), self.features_per_rep, self.selection_per_rep, self.strat)
         return fit_head(df, features, LogisticRegression(regParam=0.01), self.label_col, classes, meta)
 
 

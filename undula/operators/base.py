@@ -6,6 +6,7 @@ transform without state needs no fitting; ``fit`` then validates and returns it.
 
 from __future__ import annotations
 
+import importlib
 import os
 from collections.abc import Callable
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from undula.series import Capabilities, SeriesMeta, as_series, validate
 
 TYPES = ("classifier", "clusterer", "regressor", "transformer")
+#: Modules that register operators.
+MODULES = [f"undula.{m}" for m in ("operators.transforms", "operators.intervals", "operators.fpca", "learn.compose", "learn.dummy", "learn.grail", "learn.pipelines", "learn.shapelets", "learn.symbolic")]
 _registry: dict[str, tuple[str, type]] = {}
 
 
@@ -34,6 +37,8 @@ def all_operators(type_filter: str | list[str] | None = None) -> list[tuple[str,
     wanted = TYPES if type_filter is None else (type_filter,) if isinstance(type_filter, str) else tuple(type_filter)
     if set(wanted) - set(TYPES):
         raise ValueError(f"type_filter must be among {TYPES} or None, got {type_filter!r}")
+    for module in MODULES:
+        importlib.import_module(module)
     return sorted((name, cls) for name, (kind, cls) in _registry.items() if kind in wanted)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from undula.functions.stats import total
 from undula.operators.base import SeriesEstimator, SeriesModel, register
-from undula.series import Capabilities, as_series, validate
+from undula.series import Capabilities, as_series, guarded, validate
 
 
 def trapezoid(n: int) -> np.ndarray:
@@ -63,8 +63,7 @@ class FPCAModel(SeriesModel):
         return "scores"
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        df = as_series(df, self.input_col)
-        validate(df, Capabilities(), self.input_col, like=self.meta)
+        df = guarded(as_series(df, self.input_col), Capabilities(), self.meta, self.input_col)
         out = df.withColumn("scores", self.expression(F.col(self.input_col)))
         return out.withColumn("features", F.flatten("scores"))
 

@@ -13,7 +13,7 @@ from undula.functions.stats import fisher_score
 from undula.operators.base import SeriesEstimator, SeriesModel, register
 from undula.operators.select import check_mask
 from undula.plans.intervals import Feature, Interval, feature_expression, interval_features
-from undula.series import Capabilities, SeriesMeta, as_series, validate
+from undula.series import Capabilities, SeriesMeta, as_series, guarded, validate
 
 #: Features where none are given, in order.
 RANDOM_FEATURES = ["mean", "std", "min", "max", "median", "quantile25", "quantile75"]
@@ -78,10 +78,7 @@ class IntervalModel(SeriesModel):
         return F.concat(*parts) if parts else F.array().cast("array<double>")
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        df = as_series(df, self.input_col)
-        if self.needs.validates:
-            validate(df, self.needs, self.input_col, like=self.meta)
-        return super()._transform(df)
+        return super()._transform(guarded(as_series(df, self.input_col), self.needs, self.meta, self.input_col))
 
 
 @register("transformer")
@@ -104,7 +101,10 @@ class RandomIntervalTransformer(SeriesEstimator):
         return {"n_intervals": 2, "random_state": 0}
 
     def _fit(self, df: DataFrame) -> IntervalModel:
-        meta = validate(as_series(df, self.input_col), self.needs, self.input_col)
+        return self.drawn_for(validate(as_series(df, self.input_col), self.needs, self.input_col))
+
+    def drawn_for(self, meta: SeriesMeta) -> IntervalModel:
+        """The model for a collection that is known to be valid: intervals depend on its sizes only."""
         shortest = max(3, self.min_interval_length)
         longest = min(max(self.max_interval_length, shortest), meta.min_length)
         number = self.n_intervals(meta) if callable(self.n_intervals) else self.n_intervals

@@ -8,20 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undula.functions import stats, windows
-from undula.learn.compose import ChannelEnsembleClassifier, ChannelEnsembleRegressor, TabularClassifier, TabularClusterer, TabularRegressor
+from undula.learn.compose import ChannelEnsembleRegressor
 from undula.learn.dummy import DummyClassifier, DummyClusterer, DummyRegressor
-from undula.learn.grail import GRAILClassifier
-from undula.learn.pipelines import FPCAClassifier, FPCARegressor, RandomIntervalClassifier, RandomIntervalRegressor, SupervisedIntervalClassifier
-from undula.learn.shapelets import RandomShapeletForestClassifier, RandomShapeletForestRegressor
-from undula.learn.symbolic import MrSEQLClassifier, MrSQMClassifier
-from undula.operators.fpca import FPCATransformer
 from undula.operators.intervals import RANDOM_FEATURES, RandomIntervalTransformer, SupervisedIntervalTransformer, draw_interval
 from undula.operators.neighbours import nearest_neighbours
 from undula.operators.select import channels_of, select_channels
@@ -240,11 +232,6 @@ def q_burg_order1(spark, sf):
     return out.select("case_id", r6(F.element_at("a", 1)).alias("k"))
 
 
-@query("q_burg")
-def q_burg(spark, sf):
-    return _exploded(one_channel(ARCoefficientTransformer(order=8).transform(embeddings(spark, sf))), F.col("a"))
-
-
 # intervals
 
 _FEATURE_SQL = {"mean": "avg(v)", "std": "stddev_pop(v)", "min": "min(v)", "max": "max(v)", "median": "quantile_cont(v, 0.5)", "quantile25": "quantile_cont(v, 0.25)", "quantile75": "quantile_cont(v, 0.75)"}
@@ -385,55 +372,7 @@ def q_knn5(spark, sf):
     return nearest_neighbours(rows, rows, 5).select("case_id", "rank", "neighbour_id", r6("distance").alias("distance"))
 
 
-# learners: their results have no SQL; held-out accuracy is in the tests
-
-
-def _classified(model: Callable[[], object], fixture: Callable = embeddings) -> Query:
-    def run(spark, sf):
-        rows = fixture(spark, sf)
-        return model().fit(rows).transform(rows).select("case_id", "y", "prediction", "probability")
-
-    return run
-
-
-def _regressed(model: Callable[[], object]) -> Query:
-    def run(spark, sf):
-        rows = embeddings(spark, sf).withColumn("y", F.col("y").cast("double"))
-        return model().fit(rows).transform(rows).select("case_id", "y", "prediction")
-
-    return run
-
-
-query("q_rf_pipeline")(_classified(lambda: RandomIntervalClassifier(n_intervals=20, estimator=RandomForestClassifier(numTrees=50, seed=0), random_state=0)))
-query("q_rf_regressor")(_regressed(lambda: RandomIntervalRegressor(n_intervals=20, series_transformers=[None, AutocorrelationFunctionTransformer(8)], estimator=RandomForestRegressor(numTrees=50, seed=0), random_state=0)))
-query("q_supervised_classifier")(_classified(lambda: SupervisedIntervalClassifier(n_intervals=2, estimator=RandomForestClassifier(numTrees=50, seed=0), random_state=0)))
-query("q_fpca_classifier")(_classified(lambda: FPCAClassifier(n_components=10)))
-query("q_fpca_regressor")(_regressed(lambda: FPCARegressor(n_components=10, bspline=True, n_basis=20, order=4)))
-query("q_rsf")(_classified(lambda: RandomShapeletForestClassifier(n_estimators=20, random_state=0)))
-query("q_rsf_regressor")(_regressed(lambda: RandomShapeletForestRegressor(n_estimators=10, random_state=0)))
-query("q_sax")(_classified(lambda: MrSEQLClassifier(symrep="sax", random_state=0)))
-query("q_sfa")(_classified(lambda: MrSQMClassifier(nsfa=2, features_per_rep=100, random_state=0)))
-query("q_grail")(_classified(lambda: GRAILClassifier("logistic", random_state=0)))
-query("q_grail_knn")(_classified(lambda: GRAILClassifier("knn", random_state=0)))
-query("q_channel_ensemble")(_classified(lambda: ChannelEnsembleClassifier([("dummy", DummyClassifier(), "all"), ("rf", RandomIntervalClassifier(n_intervals=5, estimator=RandomForestClassifier(numTrees=10, seed=0), random_state=0), [0])])))
-query("q_tabular_classifier")(_classified(lambda: TabularClassifier(LogisticRegression(maxIter=30))))
-query("q_tabular_regressor")(_regressed(lambda: TabularRegressor(LinearRegression())))
-
-
-@query("q_tabular_clusterer")
-def q_tabular_clusterer(spark, sf):
-    rows = embeddings(spark, sf)
-    return TabularClusterer(KMeans(k=10, seed=0)).fit(rows).transform(rows).select("case_id", "cluster")
-
-
 @query("q_dummy_clusterer", "SELECT vec_id AS case_id, (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS cluster FROM embeddings")
 def q_dummy_clusterer(spark, sf):
     rows = embeddings(spark, sf)
     return DummyClusterer("unique").fit(rows).transform(rows).select("case_id", "cluster")
-
-
-@query("q_fpca")
-def q_fpca(spark, sf):
-    return unpacked(FPCATransformer(n_components=5).fit_transform(embeddings(spark, sf)), 5)
-
-

@@ -122,6 +122,30 @@ def validate(df: DataFrame, needs: Capabilities = Capabilities(), x: str = X, y:
     return SeriesMeta(r.n, r.c_hi, r.lo, r.hi)
 
 
+def guarded(df: DataFrame, needs: Capabilities, like: SeriesMeta, x: str = X) -> DataFrame:
+    """``df`` with ``x`` checked row by row where it is used: the same rules as ``validate``, inside the plan.
+
+    Nothing is read for it, so a fitted operator is a projection, on a stream too. A row
+    that breaks a rule fails the query with the rule's message.
+    """
+    c, sizes = F.col(x), F.transform(x, F.size)
+    rules = [
+        (c.isNull() | F.coalesce(F.exists(x, lambda v: v.isNull()), F.lit(False)), F.lit("a series or a channel is null")),
+        (F.size(x) != like.n_channels, F.format_string(f"X has %d channels, but {like.n_channels} are expected", F.size(x))),
+        (F.array_min(sizes) != F.array_max(sizes), F.lit("channels of a case differ in length")),
+        (F.array_min(sizes) < needs.min_length, F.format_string(f"Found a series length of %d, a minimum of {needs.min_length} is required", F.array_min(sizes))),
+    ]
+    if needs.equal_length_only:
+        rules.append((F.array_min(sizes) != like.min_length, F.format_string(f"X has a series length of %d, but {like.min_length} is expected", F.array_min(sizes))))
+    if not needs.allow_nan:
+        rules.append((_non_finite(c), F.lit("Input contains NaN, infinity or null values")))
+    kind = df.schema[x].dataType
+    checked = F.when(rules[0][0], F.raise_error(rules[0][1]).cast(kind))
+    for broken, message in rules[1:]:
+        checked = checked.when(broken, F.raise_error(message).cast(kind))
+    return df.withColumn(x, checked.otherwise(c))
+
+
 def pad(x: Column, length: int | Column) -> Column:
     """Channels with zeros at the end up to ``length``; a longer series is an error of the caller's."""
     return F.transform(x, lambda c: F.concat(c, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(length) - F.size(c) if isinstance(length, int) else length - F.size(c)))))

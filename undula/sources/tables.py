@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,21 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("case_id"), F.array(F.col("embedding").cast("array<double>")).alias("x"), F.col("label").alias("y"))
 
 
+def _dense(channels: int, length: int):
+    """Rows of a table of numbers from their cells (at, v); others are 0. One step a cell."""
+
+    @F.pandas_udf("array<array<double>>")
+    def fill(cells: pd.Series) -> pd.Series:
+        out = []
+        for case in cells:
+            m = np.zeros(channels * length)
+            m[[c["at"] for c in case]] = [c["v"] for c in case]
+            out.append(list(m.reshape(channels, length)))
+        return pd.Series(out, dtype=object)
+
+    return fill
+
+
 def event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values of a user's events in order of time: one channel, lengths differ."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -28,9 +45,8 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = rows.agg(F.min(day).alias("lo"), F.datediff(F.max(day), F.min(day)).alias("n"), F.array_sort(F.collect_set("event_type")).alias("types")).first()
     ch = F.array_position(F.array(*map(F.lit, span.types)), F.col("event_type")) - 1
     sums = rows.groupBy(F.col("user_id").alias("case_id"), ch.alias("ch"), F.datediff(day, F.lit(span.lo)).alias("t")).agg(F.sum("value").alias("v"))
-    held = sums.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("ch", "t"), "v"))).alias("m"))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(len(span.types) - 1)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(span.n)), lambda t: F.coalesce(F.element_at("m", F.struct(c.cast("long").alias("ch"), t.cast("int").alias("t"))), F.lit(0.0))))
-    return held.select("case_id", grid.alias("x"))
+    held = sums.groupBy("case_id").agg(F.collect_list(F.struct((F.col("ch") * (span.n + 1) + F.col("t")).cast("long").alias("at"), F.col("v").cast("double").alias("v"))).alias("cells"))
+    return held.select("case_id", _dense(len(span.types), span.n + 1)("cells").alias("x"))
 
 
 def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:

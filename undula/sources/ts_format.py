@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -28,6 +28,7 @@ class Header:
     target: bool = False
     classes: list[str] | None = None
     lines: int = 0
+    first: tuple[int, int] | None = None  # channels and length of the first case
 
 
 _FLAGS = ("timestamps", "missing", "univariate", "equallength")
@@ -107,12 +108,14 @@ def parse_case(line: str, head: Header, missing: str = "nan") -> tuple[list[list
     parts = line.strip().lower().split(":")
     label = parts.pop() if labelled else None
     channels = [[float(missing if v.strip() == "?" else v) for v in c.split(",")] for c in parts]
-    n = head.dimension or (1 if head.flags.get("univariate") else len(channels))
+    n = head.first[0] if head.first else head.dimension or len(channels)
     if len(channels) != n:
-        raise TsFormatError(f"a case has {len(channels)} channels, {n} are declared")
-    lengths = {len(c) for c in channels}
-    if head.flags.get("equallength") and head.length and lengths != {head.length}:
-        raise TsFormatError(f"a case has the lengths {sorted(lengths)}, {head.length} is declared")
+        raise TsFormatError(f"a case has {len(channels)} channels, {n} are expected")
+    lengths, length = {len(c) for c in channels}, head.first[1] if head.first else head.length
+    if head.flags.get("equallength") and length and lengths != {length}:
+        raise TsFormatError(f"a case has the lengths {sorted(lengths)}, {length} is expected")
+    if len(lengths) > 1:
+        raise TsFormatError(f"the channels of a case have the lengths {sorted(lengths)}")
     if head.classes and label not in head.classes:
         raise TsFormatError(f"unknown class {label!r}")
     if head.target:
@@ -120,6 +123,21 @@ def parse_case(line: str, head: Header, missing: str = "nan") -> tuple[list[list
     return channels, label
 
 
+def with_first(head: Header, line: str | None) -> Header:
+    """``head`` with the sizes of the first case, which all others have to agree with; they are held against the tags."""
+    if line is None:
+        return head
+    channels, _ = parse_case(line, replace(head, dimension=None, length=None, flags={}))
+    found = len(channels), len(channels[0])
+    if head.flags.get("univariate", True) and found[0] > 1:
+        raise TsFormatError("@univariate is missing or true, but a case has more than one channel")
+    if head.dimension and head.dimension != found[0]:
+        raise TsFormatError(f"@dimension is {head.dimension}, but a case has {found[0]} channels")
+    if head.length and head.length != found[1]:
+        raise TsFormatError(f"@serieslength is {head.length}, but a case has a length of {found[1]}")
+    return replace(head, first=found)
+
+
 def _schema(head: Header) -> str:
     label = ", y double" if head.target else ", y string" if head.classes else ""
     return f"case_id long, x array<array<double>>{label}"
@@ -128,20 +146,23 @@ def _schema(head: Header) -> str:
 def read_ts(spark: SparkSession, path: str, missing: str = "nan", split: str | None = None) -> DataFrame:
     """A ``.ts`` file as case_id (place in the file), x and y; ``path`` is any that Spark can read.
 
-    ``?`` is read as ``missing``. Lines are numbered by counts of the partitions before,
+    A folder, as ``write_ts`` leaves it, is read as its files in order of their names. ``?`` is read as ``missing``. Lines are numbered by counts of the partitions before,
     so no task sees the whole file.
     """
-    lines = spark.sparkContext.textFile(path)
+    lines = spark.sparkContext.textFile(_files(spark, path))
     parsed: list[Header] = []
     batch = 64
     while not parsed:  # a header is some dozens of lines
         first = lines.take(batch)
         try:
-            parsed.append(parse_header(iter(first)))
+            head = parse_header(iter(first))
+            body = next((x for x in first[head.lines :] if x.strip()), None)
+            if body is not None or len(first) < batch:
+                parsed.append(with_first(head, body))
         except TsFormatError as fault:
             if "no @data" not in str(fault) or len(first) < batch:
                 raise
-            batch *= 8
+        batch *= 8
     head = parsed[0]
 
     def cases(rows):
@@ -219,7 +240,9 @@ class TsDataSource(DataSource):
 
     def _head(self) -> Header:
         with _open(self.options["path"]) as f:
-            return parse_header(line.decode() for line in iter(f.readline, b""))
+            lines = (line.decode() for line in iter(f.readline, b""))
+            head = parse_header(lines)
+            return with_first(head, next((line for line in lines if line.strip()), None))
 
     def schema(self) -> str:
         return _schema(self._head())
@@ -228,6 +251,38 @@ class TsDataSource(DataSource):
         return _TsReader(self.options["path"], self._head(), self.options.get("missing", "nan"))
 
 
+def _files(spark: SparkSession, path: str) -> str:
+    """A folder's files in order of their names; a file is itself."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(there) or not store.getFileStatus(there).isDirectory():
+        return path
+    return ",".join(sorted(f.getPath().toString() for f in store.listStatus(there) if f.getPath().getName()[0] not in "._"))
+
+
+def write_ts(df: DataFrame, path: str, problem: str = "series", x: str = "x", y: str | None = "y") -> None:
+    """Write a collection as a folder of text files that ``read_ts`` reads as one: the header, then the cases in the order of ``df``.
+
+    A double ``y`` is a target, any other a class; without a ``y`` there are no labels.
+    """
+    from pyspark.sql import functions as F
+
+    from undula.series import meta_of
+
+    spark, meta = df.sparkSession, meta_of(df, x)
+    tags = [f"@problemname {problem}", "@timestamps false", "@missing false", f"@univariate {str(meta.n_channels == 1).lower()}", f"@dimension {meta.n_channels}"]
+    tags += ["@equallength true", f"@serieslength {meta.max_length}"] if meta.equal_length else ["@equallength false"]
+    target = y is not None and df.schema[y].dataType.simpleString() in ("double", "float")
+    if y is None or target:
+        tags.append("@targetlabel true" if target else "@classlabel false")
+    else:
+        tags.append("@classlabel true " + " ".join(sorted(str(r[0]) for r in df.select(y).distinct().collect())))  # a row a class
+    channels = F.transform(x, lambda c: F.concat_ws(",", F.transform(c, lambda v: v.cast("string"))))
+    body = df.select(F.concat_ws(":", channels, *([F.col(y).cast("string")] if y is not None else [])).alias("value"))
+    header = spark.createDataFrame([(line,) for line in [*tags, "@data"]], "value string").coalesce(1)
+    header.unionAll(body).write.text(path)
+
+
 def format_ts(problem: str, cases: list[tuple[list[list[float]], str | float]], classes: list[str] | None) -> str:
     """The text of a small collection in this format."""
     lengths = {len(c) for x, _ in cases for c in x}
