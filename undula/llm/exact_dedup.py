@@ -16,11 +16,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import heapq
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,79 +24,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import scratch
+from undula.llm.kernels import releasing
 
 FAN_IN = 16
+#: Rows of a run that a task turns into Arrow at once.
+ROWS = 1 << 18
 
-_DIGESTS = "doc_id long, part int, place long, digest binary, size long"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RUN = "node long, digest binary, size long, best long, part int, place long, copies long"
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, place = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        digests, sizes = [], []
-        for text in batch.column(1).cast(pa.large_binary()):
-            low = (text.as_py() or b"").lower()  # bytes.lower() changes A-Z only
-            digests.append(hashlib.sha256(low).digest())
-            sizes.append(len(low))
-        n = len(digests)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())],
-            names=["doc_id", "part", "place", "digest", "size"],
-        )
-        place += n
-
-
-def _rank(largest: bool, best: int | None, part: int, place: int) -> tuple:
-    """Order of candidates: the wanted identifier first, a null one last, then the first row read."""
-    return (best is None, 0 if best is None else -best if largest else best, part, place)
+_NAMES = ["node", "digest", "size", "best", "part", "place", "copies"]
+
+
+def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Digests of 32 bytes as rows of four numbers that sort like them."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.zeros(0, np.uint8)
+    start = 32 * column.offset
+    return data[start : start + 32 * len(column)].view(">u8").reshape(-1, 4)
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch], largest: bool, digit: int, fan_in: int, groups: int) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if not any(b.num_rows for b in held):
+        return
+    table = pa.Table.from_batches(held)
+    node, size, part, place, copies = (table[x].to_numpy() for x in ("node", "size", "part", "place", "copies"))
+    null, best = table["best"].is_null().to_numpy(), table["best"].fill_null(0).to_numpy()
+    digest = _words(table["digest"])
+    # node, digest and length as one string: sorting it is stable and merges the runs that are in order already
+    key = np.empty((len(node), 6), ">u8")
+    key[:, 0], key[:, 1:5], key[:, 5] = node, digest, size
+    order = np.argsort(key.view("S48").ravel(), kind="stable")
+    key = key[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]).any(1)))
+    group = np.cumsum(new) - 1
+    # the wanted identifier first, a null one last, then the first row read
+    rank = np.lexsort((place[order], part[order], -best[order] if largest else best[order], null[order], group))
+    kept = order[rank[np.flatnonzero(new)]]
+    total = np.add.reduceat(copies[order], np.flatnonzero(new))
+    to = node[kept]
+    if digit >= 0:
+        high = digest[kept, 0].astype(np.uint64) >> np.uint64(32)  # 32 bits pick the nodes of all levels
+        to = (high * np.uint64(fan_in ** (digit + 1)) >> np.uint64(32)).astype(np.int64) * groups + to % groups // fan_in
+    out = pa.table([pa.array(to), table["digest"].take(pa.array(kept)), pa.array(size[kept]), table["best"].take(pa.array(kept)), pa.array(part[kept]), pa.array(place[kept]), pa.array(total)], names=_NAMES)
+    yield from out.combine_chunks().to_batches(ROWS)
 
 
 def _merge(largest: bool, digit: int, fan_in: int, groups: int):
-    """Merge the runs that reach a task, and address the result's sub-runs to the next level.
+    """Merge the sorted runs that reach a task, and address the result's sub-runs to the next level.
 
     ``digit``: which digit of the digest picks the next node; -1 to leave nodes.
     """
-    name = itemgetter(0, 1, 2)  # node, digest, size
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: list[list[tuple]] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if runs and name(runs[-1][-1]) <= name(row):
-                    runs[-1].append(row)
-                else:
-                    runs.append([row])
-        if digit == 0:  # rows as they were read: one sorted run is made of them
-            runs = [sorted((row for r in runs for row in r), key=name)]
-        rows = []
-        for (node, digest, size), same in groupby(heapq.merge(*runs, key=name), name):
-            entries = list(same)  # one a run at most, but for level 0
-            best = min((e[3:6] for e in entries), key=lambda e: _rank(largest, *e))
-            to = node
-            if digit >= 0:
-                prefix = int.from_bytes(digest[:8], "big") * fan_in ** (digit + 1) >> 64
-                to = prefix * groups + node % groups // fan_in
-            rows.append((to, digest, size, *best, sum(e[6] for e in entries)))
-        if rows:
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "digest", "size", "best", "part", "place", "copies"])
+        yield from _merge_batches(batches, largest, digit, fan_in, groups)
 
     return run
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, part and place (where it was read), SHA-256, length."""
-    return scratch.table(docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(_digest, _DIGESTS), "digests")
+    """One row a document: doc_id, part and place (where it was read), SHA-256, length; all by built-in functions."""
+    low = F.encode(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _UPPER, _LOWER), "UTF-8")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), low.alias("low"))
+    place = F.monotonically_increasing_id()  # the partition, then the row in it
+    rows = rows.select("doc_id", F.spark_partition_id().alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), F.unhex(F.sha2("low", 256)).alias("digest"), F.octet_length("low").cast("long").alias("size"))
+    return scratch.table(rows, "digests")
 
 
 def merge_runs(digest_rows: DataFrame, largest: bool = True, fan_in: int = FAN_IN) -> DataFrame:
     """(digest, size, best, part, place, copies), one row a distinct text."""
     last = digest_rows.agg(F.max("part")).first()[0]
     parts = 1 if last is None else last + 1
-    levels = 1
+    levels = 2 if parts > 2 else 1  # a single round would be a plain shuffle
     while fan_in**levels < parts:
         levels += 1
     fan = next(f for f in range(1, fan_in + 1) if f**levels >= parts)  # as even as the rounds allow
@@ -159,7 +155,7 @@ def drop_copies(docs: DataFrame, keep: str = "largest", key: str = "doc_id", tex
     unclear = scratch.table(unclear, "unclear").select(F.col("doc_id").alias(own_id))
     same = F.col(key).eqNullSafe(F.col(own_id))
     clear = docs.join(scratch.small(unclear), same, "left_anti").join(scratch.small(dropped.join(unclear, own_id, "left_anti")), F.col(key) == F.col(own_id), "left_anti")
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), _UPPER, _LOWER)
     rest = docs.join(scratch.small(unclear), same, "left_semi").withColumn(own_sha, F.sha2(low, 256)).dropDuplicates([key, own_sha])
     kept = found.where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(kept_sha))
     return clear.unionByName(rest.join(kept, same & (F.col(own_sha) == F.col(kept_sha)), "left_semi").drop(own_sha))
