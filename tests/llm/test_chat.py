@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from undula.llm import chat
 
@@ -131,3 +132,48 @@ def test_canonical_json():
         chat.canonical(float("nan"))
     assert chat.violations({"a": 1}, {"properties": {"a": {"enum": [1.0, 2]}}}) == []
     assert chat.violations(True, {"type": "integer"}) and not chat.violations(3.0, {"type": "integer"}) and chat.violations("x", {"const": "y"})
+
+
+def test_many_messages_of_one_turn(spark, monkeypatch):
+    """Repeated and null turns: places have no gaps and follow the order of small blocks."""
+    rows = [(1, None, "user", f"n{i}") for i in range(40)] + [(1, 7, "user", f"s{i}") for i in range(50)] + [(2, i, "user", "x") for i in range(30)] + [(None, 3, "user", "y")] * 25
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5).withColumns({c: F.lit(1) for c in ("row", "block", "first", "sort", "place")})
+    df.cache().count()
+    want = sorted((str(r.conv_id), r.place, str(r.turn)) for r in chat.format_chats(df).collect())
+    monkeypatch.setattr(chat, "LARGE_BLOCK", 20)
+    got = chat.format_chats(df).collect()
+    assert sorted((str(r.conv_id), r.place, str(r.turn)) for r in got) == want and len(got) == len(rows)
+    for key, n in ((1, 90), (2, 30), (None, 25)):
+        assert sorted(r.place for r in got if r.conv_id == key) == list(range(n))
+
+
+def test_plain_tables_and_generated_traces(spark, rng):
+    """Generated tool traces against an order made by hand: repeatedly the earliest message that waits for nothing."""
+    rows, want = [], {}
+    for conv in range(6):
+        n = rng.randint(3, 40)
+        calls = [{"id": str(i), "name": "f", "arguments": {}, "after": [str(j) for j in range(i) if rng.random() < 2 / (i + 1)]} for i in range(n)]
+        turns = list(range(2 * n))
+        rng.shuffle(turns)
+        edges = {}
+        for i, c in enumerate(calls):
+            edges[turns[2 * i]] = {turns[2 * int(j) + 1] for j in c["after"]}
+            edges[turns[2 * i + 1]] = {turns[2 * i]}
+            rows += [(conv, turns[2 * i], "assistant", call(c)), (conv, turns[2 * i + 1], "tool", result(str(i), "r"))]
+        late, deep = {}, {}
+
+        def settle(t, edges=edges, late=late, deep=deep):
+            if t not in late:
+                late[t], deep[t] = t, 0
+                for e in edges[t]:
+                    settle(e, edges, late, deep)
+                    late[t], deep[t] = max(late[t], late[e]), max(deep[t], deep[e] + 1)
+            return late[t], deep[t], t
+
+        want[conv] = sorted(turns, key=settle)
+    got = run(spark, rows)
+    for conv in want:
+        own = [r for r in got if r.conv_id == conv]
+        assert [r.turn for r in own] == want[conv] and all(r.valid for r in own)
+        for r in own:
+            assert r.message == chat.canonical(json.loads(r.message))

@@ -33,6 +33,9 @@ from undula.llm import scratch
 #: Turns of a conversation whose links one task follows in a round; no bound on chains, which go on in the next round.
 BLOCK = 4096
 
+#: Messages of 256 turns beyond which they are placed by several tasks.
+LARGE_BLOCK = 100_000
+
 _PARSED = "conv_id long, turn long, role string, content string, calls array<struct<id:string,name:string,arguments:string,after:array<string>,written:string>>, result_of string, problem string, rest string, tools array<struct<name:string,parameters:string>>"
 
 
@@ -349,13 +352,28 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
     are messages of their own; other columns are ignored.
     """
     messages = link(conversations)
-    late = Window.partitionBy("conv_id", "block").orderBy("sort", "depth", "turn", "row")
     messages = messages.withColumn("block", F.floor(F.col("sort") / 256))
-    sizes = messages.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = messages.withColumn("within", F.row_number().over(late) - 1)
-    starts = starts.select(F.col("conv_id").alias("__conv"), F.col("block").alias("__block"), "first")
-    placed = placed.join(starts, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("block") == F.col("__block")))
-    placed = placed.withColumn("place", (F.col("first") + F.col("within")).cast("long")).drop("__conv", "__block", "first", "within")
+    sizes = scratch.table(messages.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")), "blocks")
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = starts.select(F.col("conv_id").alias("__conv"), F.col("block").alias("__block"), "first", (F.col("n") > LARGE_BLOCK).alias("large"))
+    messages = messages.join(starts, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("block") == F.col("__block"))).drop("__conv", "__block")
+    within = Window.partitionBy("conv_id", "block").orderBy("sort", "depth", "turn", "row")
+    if sizes.where(F.col("n") > LARGE_BLOCK).isEmpty():
+        placed = messages.withColumn("place", F.col("first") + F.row_number().over(within) - 1)
+    else:  # turns that repeat or are null: of such a block, the messages of a turn fall into the partitions they were read in
+        small = messages.where(~F.col("large")).withColumn("place", F.col("first") + F.row_number().over(within) - 1)
+        large = messages.where("large").withColumn("read", F.shiftright("row", 33))
+        cell = ["conv_id", "block", "sort", "depth", "turn", "read"]
+        counts = scratch.table(large.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")), "cells")
+        earlier = Window.partitionBy("conv_id", "block").orderBy(*cell[2:]).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(*(F.col(c).alias(f"__{c}") for c in cell), "earlier")
+        same = F.lit(True)
+        for c in cell:
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        large = large.join(counts, same).drop(*(f"__{c}" for c in cell))
+        large = large.withColumn("place", F.col("first") + F.col("earlier") + F.row_number().over(Window.partitionBy(*cell).orderBy("row")) - 1)
+        placed = small.unionByName(large.drop("read", "earlier"))
+    placed = placed.withColumn("place", F.col("place").cast("long")).drop("first", "large")
     out = placed.mapInArrow(_write(schemas or {}), "conv_id long, turn long, depth int, place long, message string, problems array<string>, valid boolean")
     return out.drop("depth")
