@@ -379,9 +379,10 @@ def _across(nearest: bool):
         return fit, apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = list(batches)
+        if not any(b.num_rows for b in batches):
             return
+        table = pa.Table.from_batches(batches)
         names = ("class", "label", "role", "n", "own")
         rows = {x: table[x].to_numpy() for x in ("sig", "i", "j", *names)}
         rows["bits"] = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
