@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
-from undula.llm import jaccard
+from undula.llm import jaccard, kernels
 from undula.llm.components import components
 
 
@@ -55,9 +55,11 @@ def test_near_copies_of_all_sizes(corpus, rng):
     check(corpus(rows), rows)
 
 
-@pytest.mark.parametrize("cell", [512, 16])
-def test_common_passage_large_group_and_chain(corpus, rng, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "wide"), [(512, 4096), (16, 3)])
+def test_common_passage_large_group_and_chain(corpus, rng, monkeypatch, cell, wide):
+    """Groups of one block and of several; signatures dealt at once and in two rounds."""
     monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(kernels, "WIDE", wide)
     vocabulary = [f"w{i}" for i in range(300)]
     passage, base, texts = [rng.choice(vocabulary) for _ in range(60)], [rng.choice(vocabulary) for _ in range(100)], []
     for _ in range(150):

@@ -41,8 +41,10 @@ def brute(rows, parts=7, held=2):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_against_brute_force(corpus, rng, parts):
+@pytest.mark.parametrize(("parts", "wide"), [(1, 4096), (5, 4096), (7, 2)])
+def test_against_brute_force(corpus, rng, monkeypatch, parts, wide):
+    """One bucket, several, and several that are dealt to in two rounds."""
+    monkeypatch.setattr(kernels, "WIDE", wide)
     vocabulary = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=rng.randint(0, 40)))) for i in range(300)]
     rows += [(1000 + i, t) for i, t in enumerate(ODD)] + [(None, "w1 w2 new"), (5, "w1 w1 w1")]
@@ -84,3 +86,24 @@ def test_kernels(monkeypatch):
     assert (kernels.unpack(kernels.pack(keys), 1000) == keys).all()
     assert kernels.unpack_small(kernels.pack_small(np.array([1, 70000])), 2).tolist() == [1, 70000]
     assert list(kernels.pieces(pa.array(["aaaa", "bb", "c" * 50, "d"]), 6)) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_words_that_a_polynomial_confuses(corpus):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(i, word if i % 7 else f"{word} {other}") for i in range(20)]
+    rows = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 and other not in t] + [(2000, other)]
+    held = next(i for i in range(3000, 4000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows[-1] = (held, other)
+    got = {r.doc_id: r.n_known for r in lm.score_held_out(corpus(rows)).collect()}
+    assert got[held] == 1  # only the end is known
+
+
+def test_clashing_columns(corpus):
+    from pyspark.sql import functions as F
+
+    docs = corpus([(i, f"a b {i}") for i in range(20)])
+    odd = docs.withColumns({c: F.lit(1) for c in ("bucket", "n", "keys", "counts", "score", "held_out", "n_tokens")})
+    assert sorted(lm.score_held_out(odd).collect()) == sorted(lm.score_held_out(docs).collect())

@@ -48,7 +48,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from undula.llm import scratch
 from undula.llm.components import components
-from undula.llm.kernels import bucket_of, buffer_of, mix, pack, pack_small, pieces, releasing, unpack, unpack_small, words
+from undula.llm.kernels import bucket_of, buffer_of, deal, mix, pack, pack_small, pieces, releasing, rounds, unpack, unpack_small, words
 
 SHINGLE = 5
 #: Groups of up to so many sets are paired at once.
@@ -187,24 +187,45 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=["doc_id", "n", "class", "sketch"])
 
 
+def _packed(sigs: np.ndarray, owners: np.ndarray, classes: np.ndarray, sizes: np.ndarray, roles: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Signatures and the sets that own them (places in ``classes``, ``sizes``, ``roles``), a row for each bucket that has any."""
+    order = np.argsort(sigs, kind="stable")
+    sigs, owners = sigs[order], owners[order]
+    bucket = bucket_of(sigs, buckets)
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(sigs) else np.zeros(0, np.int64)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(sigs)], strict=False):
+        used, own = np.unique(owners[lo:hi], return_inverse=True)
+        values = [int(bucket[lo]), hi - lo, pack(sigs[lo:hi]), pack_small(own), len(used), classes[used].tobytes(), pack_small(sizes[used]), pack_small(roles[used])]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["bucket", "n", "sigs", "owners", "sets", "classes", "sizes", "roles"])
+
+
+def _redeal(buckets: int):
+    """A range's signatures by bucket."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], [], [], []]
+        known = 0
+        for batch in batches:
+            for _, n, packed, owners, sets, ids, size, role in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                parts = unpack(packed, n), unpack_small(owners, n) + np.uint32(known), np.frombuffer(ids, np.int64), unpack_small(size, sets), unpack_small(role, sets)
+                for own, part in zip(held, parts, strict=True):
+                    own.append(part)
+                known += sets
+        if known:
+            yield from _packed(*(np.concatenate(x) for x in held), buckets)
+
+    return run
+
+
 def _deal(buckets: int):
     """Signatures of the distinct sets a task reads, as sorted arrays for each bucket."""
 
     def flush(held: list, classes: list[int], sizes: list[int], roles: list[int]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        sigs = np.concatenate([x for x, _ in held])
-        owners = np.repeat(np.array([o for _, o in held], np.uint32), [len(x) for x, _ in held])
-        order = np.argsort(sigs, kind="stable")
-        sigs, owners = sigs[order], owners[order]
-        edges = np.searchsorted(bucket_of(sigs, buckets), np.arange(buckets + 1))
-        ids, size, role = np.array(classes, np.int64), np.array(sizes, np.uint32), np.array(roles, np.uint32)
-        for b in np.flatnonzero(np.diff(edges)):
-            lo, hi = edges[b], edges[b + 1]
-            used, own = np.unique(owners[lo:hi], return_inverse=True)
-            values = [int(b), int(hi - lo), pack(sigs[lo:hi]), pack_small(own), len(used), ids[used].tobytes(), pack_small(size[used]), pack_small(role[used])]
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["bucket", "n", "sigs", "owners", "sets", "classes", "sizes", "roles"])
+        if held:
+            owners = np.repeat(np.array([o for _, o in held], np.uint32), [len(x) for x, _ in held])
+            yield from _packed(np.concatenate([x for x, _ in held]), owners, np.array(classes, np.int64), np.array(sizes, np.uint32), np.array(roles, np.uint32), buckets)
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,8 +463,8 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     # equal sets meet here once, after each task has merged its own
     classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.table(classes, "classes")
-    buckets = 2 * scratch.scan_tasks(docs)
-    dealt = texts.select("text").mapInArrow(_deal(buckets), _BLOCKS).repartitionById(buckets, F.col("bucket"))
+    supers, width = rounds(2 * scratch.scan_tasks(docs))
+    dealt = deal(texts.select("text").mapInArrow(_deal(supers), _BLOCKS), supers, width, _redeal(supers * width))
     found = scratch.table(dealt.mapInArrow(_meet, _CANDIDATES), "candidates")
     del dealt
     scratch.free_shuffles(docs.sparkSession)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,3 +199,33 @@ def count_sorted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[n
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Range bucket of evenly spread 64-bit keys; it never falls as keys rise."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+#: Buckets up to which every task deals to each of them; beyond it, data goes through two rounds.
+WIDE = 4096
+
+
+def rounds(buckets: int) -> tuple[int, int]:
+    """(supers, width): ranges of buckets dealt to in a first round, and buckets of each.
+
+    A row is made for each task and bucket it has entries of. Were every task to deal to
+    every bucket, their number would grow with the square of the input; with ranges of
+    about the root of the number it grows with the power 1.5.
+    """
+    if buckets <= WIDE:
+        return buckets, 1
+    supers = math.isqrt(buckets - 1) + 1
+    return supers, -(-buckets // supers)
+
+
+def deal(blocks, supers: int, width: int, redeal):
+    """Rows dealt to ``supers`` ranges (column ``bucket``) as rows of ``supers * width`` buckets, each in one partition.
+
+    ``redeal``: batches of one range's rows to batches of rows by bucket, of the same schema.
+    """
+    from pyspark.sql import functions as F
+
+    if width > 1:
+        salt = F.pmod(F.spark_partition_id(), F.lit(width))
+        blocks = blocks.repartitionById(supers * width, (F.col("bucket") * width + salt).cast("int")).mapInArrow(redeal, blocks.schema)
+    return blocks.repartitionById(supers * width, F.col("bucket"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undula.llm import scratch
-from undula.llm.kernels import bucket_of, buffer_of, count_sorted, mix, pack, pack_small, pieces, releasing, segment_sum, unpack, unpack_small, words
+from undula.llm.kernels import bucket_of, buffer_of, count_sorted, deal, mix, pack, pack_small, pieces, releasing, rounds, segment_sum, unpack, unpack_small, words
 
 #: Stands for the end of a text; no word hashes are reserved, 64 bits make a clash improbable.
 END = np.uint64(0x5EED0F7E47E4D001)
@@ -56,20 +56,19 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return count_sorted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _blocks(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sorted keys and their counts, a row for each bucket that has any."""
     order = np.argsort(bucket.astype(np.uint32), kind="stable")
     keys, counts, bucket = keys[order], counts[order], bucket[order]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        lo, hi = edges[b], edges[b + 1]
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=False):
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(b)], pa.int32()), pa.array([int(hi - lo)]), pa.array([pack(keys[lo:hi])]), pa.array([pack_small(counts[lo:hi])])],
+            [pa.array([int(bucket[lo])], pa.int32()), pa.array([hi - lo]), pa.array([pack(keys[lo:hi])]), pa.array([pack_small(counts[lo:hi])])],
             names=["bucket", "n", "keys", "counts"],
         )
 
 
-def _counting(keys_of: Callable[[pa.Array], np.ndarray], bucket: Callable[[np.ndarray], np.ndarray], buckets: int):
+def _counting(keys_of: Callable[[pa.Array], np.ndarray], bucket: Callable[[np.ndarray], np.ndarray]):
     """Count the keys of all texts a task reads; distinct ones only go on."""
 
     @releasing
@@ -85,10 +84,10 @@ def _counting(keys_of: Callable[[pa.Array], np.ndarray], bucket: Callable[[np.nd
                     held = [_merged(held)]
                     size = len(held[0][0])
                     if size > HELD // 2:
-                        yield from _blocks(*held[0], bucket(held[0][0]), buckets)
+                        yield from _blocks(*held[0], bucket(held[0][0]))
                         held, size = [], 0
         keys, counts = _merged(held)
-        yield from _blocks(keys, counts, bucket(keys), buckets)
+        yield from _blocks(keys, counts, bucket(keys))
 
     return run
 
@@ -106,6 +105,17 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.nd
         yield bucket, *_merged(part)
 
 
+def _redeal(bucket: Callable[[np.ndarray], np.ndarray]):
+    """A range's keys by bucket, merged."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, counts in _read_blocks(batches):
+            yield from _blocks(keys, counts, bucket(keys))
+
+    return run
+
+
 def _write_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, keys, counts in _read_blocks(batches):
@@ -137,10 +147,14 @@ def _found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _log_sum(logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of logarithms, each rounded to a whole billionth: they don't depend on the order of adding."""
-    whole = np.concatenate(([0], np.cumsum(np.round(logs * 1e9).astype(np.int64))))
+    """Sums of logarithms, each rounded to 13 decimals: they don't depend on the order of adding.
+
+    The whole numbers are added in two parts, so texts of any length fit.
+    """
+    whole = np.round(logs * 1e13).astype(np.int64)
     edges = np.concatenate(([0], np.cumsum(counts)))
-    return (whole[edges[1:]] - whole[edges[:-1]]) / 1e9
+    high, low = (np.concatenate(([0], np.cumsum(part))) for part in (whole >> 20, whole & ((1 << 20) - 1)))
+    return ((high[edges[1:]] - high[edges[:-1]]) * 2.0**20 + (low[edges[1:]] - low[edges[:-1]])) / 1e13
 
 
 @dataclass(frozen=True)
@@ -332,11 +346,16 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def train(texts: DataFrame, text: str = "text") -> Model:
     """Count the words and word pairs of all ``texts`` and write the model."""
-    spark, buckets = texts.sparkSession, scratch.scan_tasks(texts)
+    spark, (supers, width) = texts.sparkSession, rounds(scratch.scan_tasks(texts))
+    buckets = supers * width
     folder = scratch.new_path(spark, "lm")
     texts = texts.select(F.col(text).cast("string").alias("text"))
-    blocks = texts.mapInArrow(_counting(lambda c: tokens(c)[0], lambda k: bucket_of(k, buckets), buckets), _BLOCK)
-    sizes = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_write_words(folder), "bucket int, words long, tokens long").collect()  # a row a bucket
+
+    def dealt(keys_of, spread) -> DataFrame:
+        blocks = texts.mapInArrow(_counting(keys_of, lambda k: bucket_of(spread(k), supers)), _BLOCK)
+        return deal(blocks, supers, width, _redeal(lambda k: bucket_of(spread(k), buckets)))
+
+    sizes = dealt(lambda c: tokens(c)[0], lambda k: k).mapInArrow(_write_words(folder), "bucket int, words long, tokens long").collect()  # a row a bucket
     found = {r.bucket: r for r in sizes}
     own = [found[b].words if b in found else 0 for b in range(buckets)]
     firsts = tuple(int(x) for x in np.concatenate(([0], np.cumsum(own))))
@@ -347,11 +366,10 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     scratch.free_shuffles(spark)
     if not model.words:
         return model
-    blocks = texts.mapInArrow(_counting(_pair_keys(model), lambda k: bucket_of(mix(k), buckets), buckets), _BLOCK)
-    stats = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_write_pairs(model), _STATS)
+    stats = dealt(_pair_keys(model), mix).mapInArrow(_write_pairs(model), _STATS)
     stats = stats.repartitionById(buckets, F.col("bucket")).mapInArrow(_write_stats(model), ", ".join(f"{x} long" for x in _SCALARS))
     s = stats.agg(*(F.sum(x).alias(x) for x in _SCALARS)).first()
-    del blocks, stats
+    del stats
     scratch.free_shuffles(spark)
     low = discounts(s.e1, s.e2, s.e3, s.e4)
     rest = (low[0] * s.e1 + low[1] * s.e2 + low[2] * s.e3_more) / s.pairs
@@ -361,7 +379,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity of every whole text.
 
-    A text's tokens are its words and its end; a token's logarithm counts to nine
+    A text's tokens are its words and its end; a token's logarithm counts to 13
     decimals. A null or empty text has its end only. Repeated rows and null ids are scored like any others. An unknown word
     gets the lowest level's uniform share. Other columns are ignored.
     """

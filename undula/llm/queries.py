@@ -38,7 +38,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_held_out(_documents(spark, sf_dir), parts=7, held=2).drop("perplexity")
+    out = lm.score_held_out(_documents(spark, sf_dir), parts=7, held=2).drop("perplexity")
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,9 +141,9 @@ def _lm_sql() -> str:
         p AS (SELECT k.v, k.w, coalesce(uni.c, 0) AS c, coalesce(bi.c, 0) AS cc, ctx.total, ctx.cut,
                      (coalesce(e, 0) - {_cut_sql("coalesce(e, 0)", "deep")}) / (SELECT count(*) FROM bi) + rest AS low
               FROM kinds k LEFT JOIN uni ON uni.w = k.w LEFT JOIN bi ON bi.v = k.v AND bi.w = k.w LEFT JOIN ctx ON ctx.v = k.v LEFT JOIN ends ON ends.w = k.w, deep, rest),
-        q AS (SELECT v, w, c, round(1e9 * log10((c + 1) / (n + 1 * (words + 1))))::BIGINT AS base,
-                     round(1e9 * log10(CASE WHEN total > 0 THEN (cc - {_cut_sql("cc", "high")} + cut * low) / total ELSE low END))::BIGINT AS score FROM p, tot, high)
-        SELECT d.doc_id, d.held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, (SELECT n FROM tot) AS train_tokens, sum(base)::BIGINT / 1e9 AS base_score, sum(score)::BIGINT / 1e9 AS score
+        q AS (SELECT v, w, c, round(1e13 * log10((c + 1) / (n + 1 * (words + 1))))::HUGEINT AS base,
+                     round(1e13 * log10(CASE WHEN total > 0 THEN (cc - {_cut_sql("cc", "high")} + cut * low) / total ELSE low END))::HUGEINT AS score FROM p, tot, high)
+        SELECT d.doc_id, d.held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, (SELECT n FROM tot) AS train_tokens, round(sum(base)::DOUBLE / 1e13, 6) AS base_score, round(sum(score)::DOUBLE / 1e13, 6) AS score
         FROM tok JOIN q USING (v, w) JOIN d USING (r) GROUP BY d.r, d.doc_id, d.held_out"""
 
 
