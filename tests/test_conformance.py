@@ -1,5 +1,9 @@
 """What every operator promises, generated from the registry."""
 
+import ast
+import inspect
+import textwrap
+
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
@@ -32,6 +36,38 @@ def test_registry():
         all_operators("painter")
 
 
+#: Settings of forests that are refused unless they have their default, and what is only checked.
+REFUSED = {"min_samples_split", "alpha", "metric_params", "oob_score", "warm_start", "n_jobs"}
+
+
+def test_every_argument_has_an_effect(spark):
+    """Each constructor argument is kept, and read somewhere; what has no counterpart is refused."""
+    for name, cls in OPERATORS:
+        arguments = set(inspect.signature(cls.__init__).parameters) - {"self"}
+        read = set()
+        for c in cls.__mro__:
+            if c.__module__.startswith("undula"):
+                nodes = ast.walk(ast.parse(textwrap.dedent(inspect.getsource(c))))
+                read |= {n.attr for n in nodes if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Load) and isinstance(n.value, ast.Name) and n.value.id == "self"}
+        allowed = REFUSED | ({"criterion"} if name == "RandomShapeletForestRegressor" else set()) if name.startswith("RandomShapelet") else set()
+        assert arguments - read <= allowed, (name, arguments - read)
+        made = make(cls)
+        assert all(hasattr(made, a) for a in arguments), name
+    for wrong in ({"min_samples_split": 5}, {"alpha": 0.1}, {"oob_score": True}, {"warm_start": True}, {"metric_params": {}}, {"criterion": "log_loss"}, {"n_jobs": "all"}, {"metric": "cosine"}):
+        with pytest.raises(ValueError):
+            dict(OPERATORS)["RandomShapeletForestClassifier"](**wrong)
+
+
+def test_class_weights(spark):
+    """A class that weighs next to nothing is not predicted by leaves that have another."""
+    from undula.learn.shapelets import RandomShapeletForestClassifier
+
+    df = generators.equal_length(spark, 12, 1, 20, seed=3)
+    out = RandomShapeletForestClassifier(5, 2, class_weight={0: 1e-6, 1: 1.0}, max_depth=0, random_state=0).fit(df).transform(df)
+    assert {r.prediction for r in out.collect()} == {1}
+    assert RandomShapeletForestClassifier(3, 2, class_weight="balanced", random_state=0).fit(df).transform(df).count() == 12
+
+
 @pytest.mark.parametrize("name", [n for n, c in OPERATORS])
 def test_results_do_not_depend_on_partitions_or_other_cases(spark, name):
     kind, cls = next((k, c) for k in ("classifier", "regressor", "transformer", "clusterer") for n, c in all_operators(k) if n == name)

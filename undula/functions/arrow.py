@@ -42,7 +42,7 @@ def per_batch(x: Column, function, kind: str = "array<double>", rows: int = 256)
                 shape = m.shape
             held.append(m)
         flush()
-        return pd.Series(list(out), dtype=object)
+        return pd.Series([list(o) if np.ndim(o) == 2 else o for o in out], dtype=object)
 
     return F.pandas_udf(run, kind)(x)
 
@@ -52,20 +52,20 @@ def next_power(n: int) -> int:
 
 
 def magnitudes(m: np.ndarray, pad: bool = True, mode: str = "constant", value: float = 0.0) -> np.ndarray:
-    """Unscaled magnitudes of the first half of the Fourier transform of each row."""
-    if pad and (extra := next_power(m.shape[1]) - m.shape[1]):
+    """Unscaled magnitudes of the first half of the Fourier transform along the last axis."""
+    if pad and (extra := next_power(m.shape[-1]) - m.shape[-1]):
         more = {"constant_values": value} if mode == "constant" else {}
-        m = np.pad(m, ((0, 0), (0, extra)), mode=mode, **more)
-    return np.abs(np.fft.fft(m)[:, : m.shape[1] // 2])
+        m = np.pad(m, ((0, 0),) * (m.ndim - 1) + ((0, extra),), mode=mode, **more)
+    return np.abs(np.fft.fft(m)[..., : m.shape[-1] // 2])
 
 
 def burg(a: np.ndarray, order: int, demean: bool = False) -> np.ndarray:
-    """Autoregressive coefficients by Burg's recursion (forward and backward errors minimised together)."""
-    a = a - a.mean() if demean else a
-    forward, backward, coef = a[1:].copy(), a[:-1].copy(), np.zeros(0)
+    """Autoregressive coefficients along the last axis by Burg's recursion (forward and backward errors minimised together)."""
+    a = a - a.mean(-1, keepdims=True) if demean else a
+    forward, backward, coef = a[..., 1:], a[..., :-1], np.zeros((*a.shape[:-1], 0))
     for _ in range(order):
-        size = (forward @ forward) + (backward @ backward)
-        k = 2 * (forward @ backward) / size if size > 0 else np.nan
-        coef = np.append(coef - k * coef[::-1], k)
-        forward, backward = (forward - k * backward)[1:], (backward - k * forward)[:-1]
+        size = ((forward**2).sum(-1) + (backward**2).sum(-1))[..., None]
+        k = np.divide(2 * (forward * backward).sum(-1)[..., None], size, out=np.full(size.shape, np.nan), where=size > 0)
+        coef = np.concatenate([coef - k * coef[..., ::-1], k], -1)
+        forward, backward = (forward - k * backward)[..., 1:], (backward - k * forward)[..., :-1]
     return coef

@@ -84,6 +84,11 @@ class HeadModel(PredictingModel):
         return out.select(*own, F.col("__p").alias("probability"), class_at(best, self.classes).alias("prediction"))
 
 
+def seeded(head: Estimator, random_state: int | None) -> Estimator:
+    """The learner with the seed that is given, if it takes one."""
+    return head.copy({head.getParam("seed"): random_state}) if random_state is not None and head.hasParam("seed") else head
+
+
 def fit_head(df: DataFrame, features: Featuriser, head: Estimator, y: str, classes: list | None, meta: SeriesMeta | None = None, class_weight: str | dict | None = None) -> HeadModel:
     """Train an MLlib estimator on the features; they are computed once.
 

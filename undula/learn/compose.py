@@ -12,7 +12,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.learn.base import Featuriser, PredictingModel, SeriesClassifier, SeriesRegressor, class_at, first_maximum, fit_head
+from undula.learn.base import Featuriser, PredictingModel, SeriesClassifier, SeriesRegressor, class_at, first_maximum, fit_head, seeded
 from undula.learn.dummy import DummyClassifier, DummyRegressor
 from undula.operators.base import SeriesEstimator, register
 from undula.operators.select import channels_of, check_key, select_channels
@@ -161,7 +161,7 @@ class TabularClassifier(SeriesClassifier):
     def learn(self, df: DataFrame, meta: SeriesMeta, classes: list) -> PredictingModel:
         if self.classifier is None:
             raise ValueError("classifier must be given")
-        return fit_head(df, table_featuriser(meta, self.pad_unequal, self.concatenate_channels), self.classifier, self.label_col, classes, meta)
+        return fit_head(df, table_featuriser(meta, self.pad_unequal, self.concatenate_channels), seeded(self.classifier, self.random_state), self.label_col, classes, meta)
 
 
 @register("regressor")
@@ -181,7 +181,7 @@ class TabularRegressor(SeriesRegressor):
     def learn(self, df: DataFrame, meta: SeriesMeta) -> PredictingModel:
         if self.regressor is None:
             raise ValueError("regressor must be given")
-        return fit_head(df, table_featuriser(meta, self.pad_unequal, self.concatenate_channels), self.regressor, self.label_col, None, meta)
+        return fit_head(df, table_featuriser(meta, self.pad_unequal, self.concatenate_channels), seeded(self.regressor, self.random_state), self.label_col, None, meta)
 
 
 class ClusterModel(PredictingModel):
@@ -219,7 +219,7 @@ class TabularClusterer(SeriesEstimator):
         df = as_series(df)
         meta = validate(df, self.needs)
         features = table_featuriser(meta, self.pad_unequal, self.concatenate_channels)
-        head = self.clusterer.copy({})
+        head = seeded(self.clusterer, self.random_state).copy({})
         head._set(featuresCol="__features", predictionCol="__cluster")
         model = ClusterModel(features, head.fit(features(df).select(array_to_vector("features").alias("__features"))))
         model.fitted_on = df

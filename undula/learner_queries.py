@@ -505,7 +505,12 @@ def _shared(spark) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="undula-")
-    return f"{base.rstrip('/')}/undula-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/undula-{spark.sparkContext.applicationId}-queries"
+    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(there)
+    store.deleteOnExit(there)  # when the driver ends
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 @query("q_ts_round_trip", "SELECT dense_rank() OVER (ORDER BY vec_id) - 1 AS case_id, label::VARCHAR AS y, i - 1 AS t, embedding[i]::DOUBLE AS v FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")

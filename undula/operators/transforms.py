@@ -75,7 +75,7 @@ class PeriodogramTransformer(SeriesTransformer):
 
     def expression(self, x: Column) -> Column:
         pad, mode, value = self.pad_series, self.pad_with, self.constant_value
-        return arrow.per_case(x, lambda m: arrow.magnitudes(m, pad, mode, value))
+        return arrow.per_batch(x, lambda m: arrow.magnitudes(m, pad, mode, value), "array<array<double>>")
 
 
 @register("transformer")
@@ -103,10 +103,10 @@ class ARCoefficientTransformer(SeriesTransformer):
         def coefficients(m):
             import numpy as np
 
-            out = [arrow.burg(c, order) for c in m]
-            return [np.nan_to_num(c, nan=0.0) if replace else c for c in out]
+            out = arrow.burg(m, order)
+            return np.nan_to_num(out, nan=0.0) if replace else out
 
-        return arrow.per_case(x, coefficients)
+        return arrow.per_batch(x, coefficients, "array<array<double>>")
 
 
 @register("transformer")
