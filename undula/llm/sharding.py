@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from undula.llm import scratch
 
 SLOTS = 4096
-#: Parts of a slot's rows; SLOTS * PARTS rows of counts are broadcast, 262144 at most by default.
+#: Parts of a slot's rows; there are SLOTS * PARTS rows of counts, 262144 at most by default.
 PARTS = 64
 #: Rows that agree in everything are numbered in runs of so many, by several tasks.
 RUN = 1 << 16
@@ -131,7 +131,7 @@ def shard(docs: DataFrame, n_shards: int = 24, slots: int = SLOTS, key: str = "d
     before = Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows", "bytes")
     earlier = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("place", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(F.broadcast(starts), ["virtual_slot", "part"])
+    placed = rows.withColumn("place", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(starts, ["virtual_slot", "part"])  # rows lie by these two already
     placed = placed.withColumn("slot", (F.col("first") + F.col("place")).cast("long"))
     runs = placed.where(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long")))).repartition("doc_id", "run")
     runs = runs.withColumn("slot", F.col("slot") + F.col("run")).withColumn("n", F.least(F.lit(RUN), F.col("n") - F.col("run"))).drop("run")
