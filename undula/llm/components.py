@@ -13,7 +13,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels spread to neighbours and jump to their label's label until none changes, so
     rounds grow with the logarithm of a chain's length. Each round is written; nothing
-    is collected.
+    is collected. A node that very many links end at is a skewed key of joins whose other
+    side has one row for it: adaptive execution splits it, and minima are taken partly
+    before rows move. Repeated links count once; links of a node with itself or with
+    null don't count; an empty table gives no rows; other columns are ignored.
     """
     both = scratch.table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).withColumn("label", F.least("node", "label"))
